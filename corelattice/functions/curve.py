@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE = 0.25  # side of the finest squares, in the unit of the coordinates
@@ -21,29 +21,27 @@ def level_for(side: float) -> int:
     return max(0, math.ceil(math.log2(max(side, BASE) / BASE)))
 
 
-def _spread(v: Column) -> Column:
-    # fixed masks of bit interleaving
-    for by, mask in (
-        (16, 0x0000FFFF0000FFFF),
-        (8, 0x00FF00FF00FF00FF),
-        (4, 0x0F0F0F0F0F0F0F0F),
-        (2, 0x3333333333333333),
-        (1, 0x5555555555555555),
-    ):
-        v = v.bitwiseOR(F.shiftleft(v, by)).bitwiseAND(F.lit(mask).cast("long"))
-    return v
-
-
 def square(v: Column, level: int = 0) -> Column:
     """Column or row of the quad that holds coordinate ``v``."""
     return F.floor(v / F.lit(BASE * 2**level)).cast("long") + F.lit(_SHIFT >> level).cast("long")
 
 
-def interleave(column: Column, row: Column) -> Column:
-    """Code of the square (or quad) at ``column``, ``row``."""
-    return _spread(column).bitwiseOR(F.shiftleft(_spread(row), 1))
+# fixed shifts and masks of bit interleaving
+_STEPS = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def interleaved(df: DataFrame, column: Column, row: Column, out: str) -> DataFrame:
+    """Adds ``out``, the code of the square (or quad) at ``column``, ``row``.
+
+    Each step is a projection of its own: as one expression, every step would
+    double the work, since it uses the step before it twice.
+    """
+    df = df.withColumns({"__ix": column, "__iy": row})
+    for by, mask in _STEPS:
+        df = df.withColumns({c: F.col(c).bitwiseOR(F.shiftleft(c, by)).bitwiseAND(F.lit(mask).cast("long")) for c in ("__ix", "__iy")})
+    return df.withColumn(out, F.col("__ix").bitwiseOR(F.shiftleft("__iy", 1))).drop("__ix", "__iy")
 
 
-def code(x: Column, y: Column) -> Column:
-    """Code of the finest square that holds the point."""
-    return interleave(square(x), square(y))
+def coded(df: DataFrame, x: str, y: str, out: str) -> DataFrame:
+    """Adds ``out``, the code of the finest square that holds the point."""
+    return interleaved(df, square(F.col(x)), square(F.col(y)), out)

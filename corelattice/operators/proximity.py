@@ -30,12 +30,12 @@ def _cover(df: DataFrame, x: str, y: str, radius: Column, level: int) -> DataFra
         return F.greatest(low - F.col(v), F.col(v) - low - F.lit(side), F.lit(0.0))
 
     touched = gap("__qx", x) * gap("__qx", x) + gap("__qy", y) * gap("__qy", y) <= radius * radius * (1 + 1e-12)
-    out = out.where(touched).withColumn("__block", curve.interleave(F.col("__qx"), F.col("__qy"))).drop("__qx", "__qy")
+    out = curve.interleaved(out.where(touched), F.col("__qx"), F.col("__qy"), "__block").drop("__qx", "__qy")
     return out.withColumn("__lo", F.shiftleft("__block", bits)).withColumn("__hi", F.shiftleft("__block", bits) + F.lit((1 << bits) - 1).cast("long"))
 
 
 def _coded(df: DataFrame, x: str, y: str, level: int) -> DataFrame:
-    return df.withColumn("__code", curve.code(F.col(x), F.col(y))).withColumn("__block", F.shiftright("__code", 2 * level))
+    return curve.coded(df, x, y, "__code").withColumn("__block", F.shiftright("__code", 2 * level))
 
 
 def near_pairs(points: DataFrame, group: str, key: str, x: str, y: str, radius: float) -> DataFrame:
@@ -50,10 +50,9 @@ def near_pairs(points: DataFrame, group: str, key: str, x: str, y: str, radius:
     r = F.lit(float(radius))
     clean = points.select(F.col(group).alias("__g"), F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y"))
     clean = clean.where("__g is not null and __k is not null and __x is not null and __y is not null and not isnan(__x) and not isnan(__y)")
-    own = F.shiftright(curve.code(F.col("__x"), F.col("__y")), 2 * level)
-    discs = _cover(clean, "__x", "__y", r, level).withColumn("__own", own).where("__block >= __own")
-    discs = discs.select("__g", "__block", "__lo", "__hi", "__own", F.col("__k").alias("__k2"), F.col("__x").alias("__x2"), F.col("__y").alias("__y2"))
     pts = _coded(clean, "__x", "__y", level)
+    discs = _cover(pts.drop("__code").withColumnRenamed("__block", "__own"), "__x", "__y", r, level).where("__block >= __own")
+    discs = discs.select("__g", "__block", "__lo", "__hi", "__own", F.col("__k").alias("__k2"), F.col("__x").alias("__x2"), F.col("__y").alias("__y2"))
     met = pts.join(discs, ["__g", "__block"]).where(
         F.col("__code").between(F.col("__lo"), F.col("__hi"))
         & ((F.col("__block") > F.col("__own")) & (F.col("__k") != F.col("__k2")) | (F.col("__k") > F.col("__k2")) & (F.col("__block") == F.col("__own")))
