@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corelattice.llm import mixing, packing, percentiles, together, vector_queries
+from corelattice.llm import cluster_queries, mixing, packing, percentiles, together, vector_queries
 from corelattice.llm.cells import current_cells
 from corelattice.operators.current import plain_text
 from corelattice.plans.lineage import written
@@ -143,6 +143,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **cluster_queries.QUERIES,
     "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_merged": p3_merged,
     "p4_found": p4_found, "p4_pairs": p4_pairs,
     **vector_queries.QUERIES,
