@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corelattice.llm import cluster_queries, mixing, packing, percentiles, together, vector_queries
+from corelattice.llm import abuse_queries, cluster_queries, mixing, packing, percentiles, together, vector_queries
 from corelattice.llm.cells import current_cells
 from corelattice.operators.current import plain_text
 from corelattice.plans.lineage import written
@@ -149,4 +149,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **vector_queries.QUERIES,
     "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill,
     "p7_found": p7_found, "p7_draw": p7_draw, "p7_shares": p7_shares,
+    **abuse_queries.QUERIES,
 }
