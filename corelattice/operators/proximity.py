@@ -64,7 +64,7 @@ def near_pairs(points: DataFrame, group: str, key: str, x: str, y: str, radius:
 
 
 def inside_discs(points: DataFrame, discs: DataFrame, group: str, key: str, x: str, y: str, disc_key: str, cx: str, cy: str, radius: str, side: float = 32.0) -> DataFrame:
-    """Points within discs of their group: group, ``key_a`` (point), ``key_b`` (disc).
+    """Points within discs of their group: group, ``key_a`` (point), ``key_b`` (disc), ``distance`` (from the centre).
 
     Overlapping discs give a row each.  NULL coordinates, groups or radii give
     none.  ``side`` is the least side of the covering quads; the rows of the
@@ -78,7 +78,7 @@ def inside_discs(points: DataFrame, discs: DataFrame, group: str, key: str, x: s
     d = _cover(d, "__x2", "__y2", F.col("__r"), level)
     met = _coded(p, "__x", "__y", level).join(d, ["__g", "__block"]).where(F.col("__code").between(F.col("__lo"), F.col("__hi")))
     d2 = (F.col("__x") - F.col("__x2")) * (F.col("__x") - F.col("__x2")) + (F.col("__y") - F.col("__y2")) * (F.col("__y") - F.col("__y2"))
-    return met.where(d2 <= F.col("__r") * F.col("__r")).select(F.col("__g").alias(group), F.col("__k").alias("key_a"), F.col("__k2").alias("key_b"))
+    return met.where(d2 <= F.col("__r") * F.col("__r")).select(F.col("__g").alias(group), F.col("__k").alias("key_a"), F.col("__k2").alias("key_b"), F.sqrt(d2).alias("distance"))
 
 
 # a signed decimal number, with or without an exponent

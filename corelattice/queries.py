@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corelattice import proximity_queries
+from corelattice import cell_queries, proximity_queries
 
-QUERIES = {**proximity_queries.QUERIES}
-ORACLE = {**proximity_queries.ORACLE}
-FLAGSHIP = "p1_found"
+QUERIES = {**proximity_queries.QUERIES, **cell_queries.QUERIES}
+ORACLE = {**proximity_queries.ORACLE, **cell_queries.ORACLE}
+FLAGSHIP = "category_props"
