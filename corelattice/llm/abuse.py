@@ -14,6 +14,7 @@ from it in one letter, or in letters hidden by marks, if there is one.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -130,37 +131,47 @@ class Model:
 
 def fit(docs: list[tuple[str, float]], rounds: int = ROUNDS, decay: float = 6e-5) -> Model:
     """The model trained on texts and labels in [0, 1]; without positive labels it scores all low."""
-    split = [sentences(t) for t, _ in docs]
-    words = Words(Counter(_plain(w) for d in split for s in d for w in s))
+    counts: Counter = Counter()
+    for t, _ in docs:
+        for s in sentences(t):
+            counts.update(map(_plain, s))
+    words = Words(counts)
     m = max(1, len(words.number))
     pair_count: Counter = Counter()
-    rows: list[list[int]] = []
-    owner: list[int] = []
-    pair_rows: list[list[int]] = []
-    for d, doc in enumerate(split):
-        for s in doc:
+    # flat numbers rather than lists of words: the sample stays small in memory
+    rows, pair_rows, ends, pair_ends, owner = array("i"), array("q"), array("q", [0]), array("q", [0]), array("i")
+    for d, (t, _) in enumerate(docs):
+        for s in sentences(t):
             ids = [words.read(w) for w in s]
             own = {a * m + b for a, b in zip(ids, ids[1:]) if a >= 0 and b >= 0}
             pair_count.update(own)
-            rows.append(sorted({i for i in ids if i >= 0}))
-            pair_rows.append(list(own))
+            rows.extend(sorted({i for i in ids if i >= 0}))
+            pair_rows.extend(sorted(own))
+            ends.append(len(rows))
+            pair_ends.append(len(pair_rows))
             owner.append(d)
     known = {p: m + j for j, p in enumerate(sorted(p for p, n in pair_count.items() if n >= 3))}
-    full = [r + sorted(known[p] for p in ps if p in known) for r, ps in zip(rows, pair_rows)]
-    lengths = np.array([len(r) for r in full], dtype=np.int64)
-    idx = np.fromiter((i for r in full for i in r), np.int64, lengths.sum())
-    row_of = np.repeat(np.arange(len(full)), lengths)
-    own = np.array(owner, dtype=np.int64)
+    pair_codes = np.array(sorted(known), dtype=np.int64)
+    flat_pairs = np.frombuffer(pair_rows, np.int64) if len(pair_rows) else np.empty(0, np.int64)
+    place = np.searchsorted(pair_codes, flat_pairs)
+    kept = (place < len(pair_codes)) & (pair_codes[np.minimum(place, max(len(pair_codes) - 1, 0))] == flat_pairs) if len(pair_codes) else np.zeros(len(flat_pairs), bool)
+    n_rows = len(owner)
+    word_row = np.repeat(np.arange(n_rows), np.diff(np.frombuffer(ends, np.int64)))
+    pair_row = np.repeat(np.arange(n_rows), np.diff(np.frombuffer(pair_ends, np.int64)))[kept]
+    words_flat = np.frombuffer(rows, np.int32) if len(rows) else np.empty(0, np.int32)
+    idx = np.r_[words_flat.astype(np.int64), m + place[kept]]
+    row_of = np.r_[word_row, pair_row]
+    own = np.frombuffer(owner, np.int32).astype(np.int64) if n_rows else np.empty(0, np.int64)
     # rare words and pairs count for more than the words of every page
     docs_with = np.bincount(np.unique(own[row_of] * (m + len(known)) + idx) % (m + len(known)), minlength=m + len(known))
-    rare = np.log(1 + len(docs) / np.maximum(docs_with, 1)) / np.log(1 + len(docs))
+    rare = np.log(1 + len(docs) / np.maximum(docs_with, 1)) / np.log(1 + max(len(docs), 1))
     y = np.array([v for _, v in docs], dtype=float)
     w = np.zeros(m + len(known))
     bias = -4.0
     first, second = np.zeros(len(w)), np.zeros(len(w))
     b1 = b2 = 0.0
     for step in range(1, rounds + 1):
-        z = np.clip(bias + np.bincount(row_of, (w * rare)[idx], len(full)), -30, 30)
+        z = np.clip(bias + np.bincount(row_of, (w * rare)[idx], n_rows), -30, 30)
         p = 1 / (1 + np.exp(-z))
         none = np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-9)), len(docs)))  # prod(1 - p)
         said = SLIP + (1 - 2 * SLIP) * (1 - none)  # chance that a reader says so
@@ -198,7 +209,7 @@ def labels(rows: DataFrame, key: str, label: str) -> DataFrame:
 def fitted(docs: DataFrame, rows: DataFrame, key: str, text: str, label: str, most: int = LABELLED) -> Model:
     """The model fitted on at most ``most`` labelled documents, chosen by a hash of the key."""
     few = labels(rows, key, label).withColumn("__h", F.xxhash64(key)).orderBy("__h", key).limit(most)  # the sample's bound
-    got = docs.select(key, text).where(F.col(text).isNotNull()).join(few, key).orderBy("__h", key).select(text, "label").toPandas()
+    got = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(few), key).orderBy("__h", key).select(text, "label").toPandas()
     return fit(list(zip(got[text], got["label"])))
 
 
