@@ -169,13 +169,13 @@ def category_counts_wide(spark: SparkSession, sf: str) -> DataFrame:
     return wide.select("sample_id", F.col("G1").alias("g1"), F.col("S").alias("s"), F.col("G2M").alias("g2m"))
 
 
-@query(f"WITH {CELLS} SELECT sample_id, phenotype, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY sample_id), 9) AS proportion FROM cells WHERE sample_id IS NOT NULL AND phenotype IS NOT NULL GROUP BY ALL")
+@query(f"WITH {CELLS} SELECT *, round(n / sum(n) OVER (PARTITION BY sample_id), 9) AS proportion FROM (SELECT sample_id, phenotype, count(*) AS n FROM cells WHERE sample_id IS NOT NULL AND phenotype IS NOT NULL GROUP BY ALL)")
 def category_props(spark: SparkSession, sf: str) -> DataFrame:
     out = A.category_proportions(cells(spark, sf, "sample_id", "phenotype"), "sample_id", ["phenotype"])
     return out.withColumn("proportion", F.round("proportion", 9))
 
 
-@query(f"WITH {CELLS} SELECT sample_id, neighborhood, phenotype, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY sample_id, neighborhood), 9) AS proportion FROM cells WHERE sample_id IS NOT NULL AND phenotype IS NOT NULL AND neighborhood IS NOT NULL GROUP BY ALL")
+@query(f"WITH {CELLS} SELECT *, round(n / sum(n) OVER (PARTITION BY sample_id, neighborhood), 9) AS proportion FROM (SELECT sample_id, neighborhood, phenotype, count(*) AS n FROM cells WHERE sample_id IS NOT NULL AND phenotype IS NOT NULL AND neighborhood IS NOT NULL GROUP BY ALL)")
 def category_props_norm(spark: SparkSession, sf: str) -> DataFrame:
     out = A.category_proportions(cells(spark, sf, "sample_id", "phenotype", "neighborhood"), "sample_id", ["neighborhood", "phenotype"], "neighborhood")
     return out.withColumn("proportion", F.round("proportion", 9))
@@ -183,17 +183,17 @@ def category_props_norm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {CELLS} SELECT sample_id, round(sum(area), 4) AS sum_area, max(area) AS max_area, min(area) AS min_area, min_by(area, cell_key) AS first_area, max_by(area, cell_key) AS last_area,
-round(avg(area), 6) AS mean_area, round(median(area), 6) AS median_area FROM cells WHERE sample_id IS NOT NULL GROUP BY 1"""
+round(avg(area), 9) AS mean_area, round(median(area), 9) AS median_area FROM cells WHERE sample_id IS NOT NULL GROUP BY 1"""
 )
 def num_summarised(spark: SparkSession, sf: str) -> DataFrame:
     out = A.summarised(cells(spark, sf, "sample_id", "area"), "sample_id", "area", list(A.SUMMARIES), "cell_key")
-    return out.withColumns({"sum_area": F.round("sum_area", 4), "mean_area": F.round("mean_area", 6), "median_area": F.round("median_area", 6)})
+    return out.withColumns({"sum_area": F.round("sum_area", 4), "mean_area": F.round("mean_area", 9), "median_area": F.round("median_area", 9)})
 
 
-@query(f"WITH {CELLS} SELECT sample_id, phenotype, round(avg(area), 6) AS mean_area FROM cells WHERE sample_id IS NOT NULL AND phenotype IS NOT NULL GROUP BY ALL")
+@query(f"WITH {CELLS} SELECT sample_id, phenotype, round(avg(area), 9) AS mean_area FROM cells WHERE sample_id IS NOT NULL AND phenotype IS NOT NULL GROUP BY ALL")
 def num_summarised_by_category(spark: SparkSession, sf: str) -> DataFrame:
     out = A.summarised(cells(spark, sf, "sample_id", "area", "phenotype"), "sample_id", "area", ["mean"], "cell_key", ["phenotype"])
-    return out.withColumn("mean_area", F.round("mean_area", 6))
+    return out.withColumn("mean_area", F.round("mean_area", 9))
 
 
 BREAKS = [0, 50, 80, 120, 200]
@@ -214,10 +214,10 @@ def num_binned_norm(spark: SparkSession, sf: str) -> DataFrame:
     return A.binned(cells(spark, sf, "sample_id", "area"), "sample_id", "area", BREAKS, True).withColumn("proportion", F.round("proportion", 9))
 
 
-@query(f"WITH {CELLS}, b AS (SELECT *, {_BIN_OF} FROM cells) SELECT sample_id, bin AS binned_area, round(avg(n_genes), 6) AS mean_n_genes FROM b WHERE sample_id IS NOT NULL AND bin IS NOT NULL GROUP BY ALL")
+@query(f"WITH {CELLS}, b AS (SELECT *, {_BIN_OF} FROM cells) SELECT sample_id, bin AS binned_area, round(avg(n_genes), 9) AS mean_n_genes FROM b WHERE sample_id IS NOT NULL AND bin IS NOT NULL GROUP BY ALL")
 def num_binned_agg(spark: SparkSession, sf: str) -> DataFrame:
     out = A.binned_summary(cells(spark, sf, "sample_id", "area", "n_genes"), "sample_id", "area", "n_genes", BREAKS, "mean", "cell_key")
-    return out.withColumn("mean_n_genes", F.round("mean_n_genes", 6))
+    return out.withColumn("mean_n_genes", F.round("mean_n_genes", 9))
 
 
 @query(f"WITH {CELLS} SELECT sample_id, (row_number() OVER (PARTITION BY sample_id ORDER BY cell_key) - 1)::INTEGER AS pos, area FROM cells WHERE sample_id IS NOT NULL")
@@ -296,10 +296,10 @@ def backpropagate_obs(spark: SparkSession, sf: str) -> DataFrame:
     return metadata.absorb(own, child, "cell_key", ["neighborhood"]).select("cell_key", "neighborhood")
 
 
-@query(f"WITH {CELLS} SELECT cell_key, phase, CASE WHEN phase = 'S' THEN n_genes END AS n_genes FROM cells")
+@query(f"WITH {CELLS} SELECT cell_key, phase, CASE WHEN phase = 'S' THEN n_genes::DOUBLE END AS n_genes FROM cells")
 def inherit_obs(spark: SparkSession, sf: str) -> DataFrame:
     own = cells(spark, sf, "phase", "n_genes")
-    return metadata.inherit(own.select("cell_key", "phase"), own.where("phase = 'S'").select("cell_key", "n_genes"), "cell_key")
+    return metadata.inherit(own.select("cell_key", "phase"), own.where("phase = 'S'").select("cell_key", F.col("n_genes").cast("double").alias("n_genes")), "cell_key")
 
 
 @query(f"WITH {CELLS} SELECT cell_key, area, n_genes FROM cells WHERE phase = 'S'")

@@ -6,8 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -49,13 +49,13 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-values; NULL where either is missing."""
     return pd.Series([t_two_sided(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_pvalue(z: pd.Series) -> pd.Series:
     """Two-sided normal p-values; NULL where missing."""
     return z.map(lambda v: normal_two_sided(v) if pd.notna(v) else None).astype("float64")
@@ -71,7 +71,3 @@ def u_exact_table(n1: int, n2: int) -> np.ndarray:
             if shift <= n2:
                 ways[i, shift:] += ways[i - 1, : n1 * n2 + 1 - shift] if shift else ways[i - 1]
     return ways[n1]
-
-
-def double(c: Column) -> Column:
-    return c.cast("double")

@@ -9,6 +9,9 @@ from corelattice.operators.proximity import inside_discs, near_pairs
 from corelattice.plans.lineage import written
 
 
+QUERY_BLOCK = 100_000  # query vectors held by a task at a time, about
+
+
 def links(edges: DataFrame) -> DataFrame:
     """Clean directed edges: no NULL ends, no stored zeros, one row for each (src, dst).
 
@@ -186,8 +189,8 @@ def with_isolated(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vec: str, k: int, metric: str = "euclidean", p: float = 2.0) -> DataFrame:
     """``src``, ``dst``, ``distance``, ``rank``: the ``k`` nearest vectors of each query, exactly, ties by key.
 
-    The queries are a stated set, checked to be small enough to travel to every
-    task in blocks; the vectors are scanned once, each task keeps the ``k`` best
+    The queries are a stated set and travel to every task, ``QUERY_BLOCK`` at a
+    time; the vectors are scanned once, each task keeps the ``k`` best
     of its rows for every query, and the bests are merged.  ``metric``:
     euclidean, minkowski (``p``), cosine, correlation.  A vector isn't its own
     neighbour.  NULL vectors are left out.
@@ -195,10 +198,18 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vec: str,
     import numpy as np
     import pandas as pd
 
-    q = queries.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vec).alias("v")).orderBy("k")
-    if q.limit(200_001).count() > 200_000:
-        raise ValueError("more than 200,000 queries: take nearest_in_group, or split the set")
-    got = q.toPandas()
+    if metric not in ("euclidean", "minkowski", "cosine", "correlation"):
+        raise ValueError(f"unknown metric {metric}")
+    q = queries.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vec).alias("v"))
+    n = q.count()
+    blocks = -(-n // QUERY_BLOCK) if n > 2 * QUERY_BLOCK else 1
+    if blocks > 1:  # more than travel at a time: block after block
+        parts = [nearest_vectors(q.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == i).select(F.col("k").alias(key), F.col("v").alias(vec)), vectors, key, vec, k, metric, p) for i in range(blocks)]
+        out = parts[0]
+        for d in parts[1:]:
+            out = out.unionByName(d)
+        return out
+    got = q.orderBy("k").toPandas()
     if got.empty:
         return queries.sparkSession.createDataFrame([], "src long, dst long, distance double, rank int")
     qk, qv = got["k"].to_numpy(), np.stack([np.asarray(v, float) for v in got["v"]])
@@ -219,8 +230,6 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vec: str,
             return (np.abs(a[:, None, :] - b[None]) ** p).sum(-1) ** (1 / p)
         raise ValueError(f"unknown metric {metric}")
 
-    if metric not in ("euclidean", "minkowski", "cosine", "correlation"):
-        raise ValueError(f"unknown metric {metric}")
     qs = shaped(qv)
 
     def best(batches):

@@ -94,7 +94,8 @@ def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
     k /= k.sum()
     for axis in (0, 1):
         pad = np.pad(a, [(r, r) if i == axis else (0, 0) for i in (0, 1)], mode="edge")
-        a = np.apply_along_axis(lambda v: np.convolve(v, k, mode="valid"), axis, pad)
+        n = a.shape[axis]
+        a = sum(w * (pad[i : i + n] if axis == 0 else pad[:, i : i + n]) for i, w in enumerate(k))
     return a
 
 
@@ -170,7 +171,7 @@ def blobs(pixels: DataFrame, low: float, high: float, ratio: float = 1.6, thresh
             for j in range(3):
                 for m in range(3):
                     np.maximum(top, p[i : i + dog.shape[0], j : j + dog.shape[1], m : m + dog.shape[2]], out=top)
-        z, y, x = np.nonzero((dog == top) & (dog > threshold))
+        z, y, x = np.nonzero((dog == top) & (dog > threshold * max(dog.max(), 1e-12)))
         order = np.argsort(-np.array([s[i] for i in z])) if len(z) else np.empty(0, int)
         kept: list[tuple[int, int, float]] = []
         for i in order:

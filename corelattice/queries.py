@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from corelattice import cell_queries, proximity_queries
+from corelattice import cell_queries, graph_queries, image_queries, proximity_queries, stats_queries
 
-QUERIES = {**proximity_queries.QUERIES, **cell_queries.QUERIES}
-ORACLE = {**proximity_queries.ORACLE, **cell_queries.ORACLE}
+_PARTS = (proximity_queries, cell_queries, graph_queries, stats_queries, image_queries)
+QUERIES = {name: fn for part in _PARTS for name, fn in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
 FLAGSHIP = "category_props"
