@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corelattice.functions.modularity import connected
+
 PROJECTIONS = {"max": F.max, "mean": F.avg, "sum": F.sum, "median": F.median}
 
 
@@ -112,22 +114,19 @@ def otsu(values: np.ndarray, bins: int = 256) -> float:
 
 
 def components(mask: np.ndarray) -> np.ndarray:
-    """Numbers of connected regions (8 neighbours), 0 outside."""
+    """Numbers of connected regions (8 neighbours) from 1, 0 outside."""
     h, w = mask.shape
-    label = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    while True:
-        pad = np.pad(label, 1)
-        best = label.copy()
-        for dy in (0, 1, 2):
-            for dx in (0, 1, 2):
-                np.maximum(best, pad[dy : dy + h, dx : dx + w], out=best)
-        best = np.where(mask, best, 0)
-        # follow the number to that pixel's own, so that long shapes take few rounds
-        flat = np.r_[0, best.reshape(-1)]
-        best = np.where(mask, np.maximum(best, flat[best]), 0)
-        if (best == label).all():
-            return np.where(mask, np.unique(label, return_inverse=True)[1].reshape(h, w) + (0 if (label == 0).any() else 1), 0)
-        label = best
+    place = np.full((h + 2, w + 2), -1)
+    place[1:-1, 1:-1][mask] = np.arange(mask.sum())
+    own = place[1:-1, 1:-1][mask]
+    ends = []
+    for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        other = place[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w][mask]
+        ends.append(np.stack([own[other >= 0], other[other >= 0]]))
+    a, b = np.concatenate(ends, axis=1)
+    out = np.zeros((h, w), np.int64)
+    out[mask] = connected(len(own), a, b, np.zeros(len(own), np.int64)) + 1
+    return out
 
 
 def masks(pixels: DataFrame, sigma: float, least_area: float = 0.0, grow: int = 0) -> DataFrame:

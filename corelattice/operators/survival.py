@@ -165,7 +165,7 @@ def concordance(df: DataFrame, event: str, time: str, risk: str) -> float | None
                 tree[j] += 1
                 j += j & -j
         at = end
-    return (good + ties / 2) / pairs if pairs else None
+    return float((good + ties / 2) / pairs) if pairs else None
 
 
 def top_coefficients(path: list[dict], n: int) -> list[tuple[str, float]]:
