@@ -1,9 +1,7 @@
-"""Cells by their current rows, and marker profiles as flat numbers."""
+"""Cells by their current rows."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from corelattice.operators.current import current_rows
@@ -13,24 +11,3 @@ from corelattice.sources.tables import table
 def current_cells(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
     """Current rows of ``adata_obs`` with ``cell_key`` and ``columns``."""
     return current_rows(table(spark, sf, "adata_obs"), columns)
-
-
-def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    """A list column as rows of ``width`` float64; NaN where a value or a row is missing.
-
-    Rows of another length are missing as a whole.
-    """
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    out = np.full((len(column), width), np.nan)
-    if not len(column):
-        return out
-    offsets = np.asarray(column.offsets)
-    lengths = np.diff(offsets)
-    good = np.asarray(column.is_valid()) & (lengths == width)
-    flat = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
-    if good.all() and offsets[-1] - offsets[0] == out.size:
-        return flat[offsets[0] : offsets[-1]].reshape(-1, width).copy()
-    rows = np.flatnonzero(good)
-    out[rows] = flat[offsets[:-1][rows][:, None] + np.arange(width)]
-    return out

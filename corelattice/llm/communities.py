@@ -22,11 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corelattice.functions.modularity import communities, modularity, relabel_by_size
+from corelattice.functions.vectors import kmeans
 from corelattice.llm import descent
-from corelattice.llm.profiles import filled, kmeans, packed, sample, unpacked
+from corelattice.llm.profiles import filled, packed, sample, unpacked
 from corelattice.plans.lineage import written
 from corelattice.plans.sizes import broadcast_if_small
 
@@ -155,7 +157,7 @@ def similarity_clusters(df: DataFrame, key: str, width: int, also: str, typical:
             t = t.sort_by("k")  # the same graph whatever the order of arrival
             v = unpacked(t["v"], width)
             a, b, w = _graph(v, descent.ROUNDS)
-            own = descent.communities(len(v), a, b, w, resolution, seed=seed)
+            own = communities(len(v), a, b, w, resolution, seed=seed)
             # unique over the table: block and salt, part of a cut block, number
             com = (t["block"][0].as_py() >> 20 << 40) + (int(t["k"][0].as_py() * 2654435761 % (1 << 24)) << 16) + own
             fields = [pa.array(np.zeros(len(v), np.int8)), t["k"].combine_chunks(), t["v"].combine_chunks(), t["also"].combine_chunks(), pa.array(com), pa.array(trees[1].dealt(v, t["k"].to_numpy())), pa.nulls(len(v), pa.float64())]
@@ -222,30 +224,19 @@ def _last_levels(rows: DataFrame, links: DataFrame, resolution: float, seed: int
     a, b, w = np.searchsorted(ids, got["a"].to_numpy()), np.searchsorted(ids, got["b"].to_numpy()), got["w"].to_numpy(dtype=float)
     order = np.lexsort((b, a))
     a, b, w = a[order], b[order], w[order]
-    best = max((descent.communities(len(ids), a, b, w, resolution, 12, seed + s) for s in range(3)), key=lambda c: descent.modularity(a, b, w, c, resolution)) if len(got) else np.arange(len(ids))
+    best = max((communities(len(ids), a, b, w, resolution, 12, seed + s) for s in range(3)), key=lambda c: modularity(a, b, w, c, resolution)) if len(got) else np.arange(len(ids))
     number = relabel_by_size(best, top["n"].to_numpy(), LEAST)
     made = spark.createDataFrame(pd.DataFrame({"top": ids, "cluster": number.astype(np.int32)}), "top long, cluster int") if len(ids) else spark.createDataFrame([], "top long, cluster int")
     return broadcast_if_small(written(names.join(made, "top").select("com", "cluster"), "clusters"))
 
 
-def relabel_by_size(com: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
-    """Numbers 0, 1, ... by falling size, ties to the lesser old number; -1 for ``least`` members or fewer."""
-    if not len(com):
-        return np.empty(0, np.int64)
-    size = np.bincount(com, n)
-    order = np.lexsort((np.arange(len(size)), -size))
-    place = np.empty(len(size), np.int64)
-    place[order] = np.arange(len(size))
-    return np.where(size[com] > least, place[com], -1)
-
-
 def _contracted(links: DataFrame, names: DataFrame, shift: int, resolution: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """One more level of moves, side by side in groups of neighbouring blocks."""
 
     def move(t: pa.Table) -> pa.Table:
         a, b, w = (t[c].to_numpy() for c in ("a", "b", "w"))
         ids, at = np.unique(np.r_[a, b], return_inverse=True)
-        com = descent.communities(len(ids), at[: len(a)], at[len(a) :], w.astype(float), resolution, seed=seed)
+        com = communities(len(ids), at[: len(a)], at[len(a) :], w.astype(float), resolution, seed=seed)
         first = np.full(com.max() + 1, len(ids))
         np.minimum.at(first, com, np.arange(len(ids)))
         return pa.table({"old": ids, "new": ids[first[com]]})

@@ -1,4 +1,4 @@
-"""Neighbour descent and modularity moves on one block of vectors, in plain arrays."""
+"""Neighbour descent on one block of vectors, in plain arrays."""
 
 from __future__ import annotations
 
@@ -107,76 +107,3 @@ def links_of(idx: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     a, b, d = a[good], b[good], d[good]
     code, at = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
     return code // n, code % n, (1 / (1 + np.sqrt(d[at]))).astype(np.float64)
-
-
-def communities(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float = 1.0, sweeps: int = 8, seed: int = 0) -> np.ndarray:
-    """Modularity communities of a weighted undirected graph (a link of a node to itself counts twice in its degree).
-
-    Levels of moves and contraction until nothing improves.  In a sweep, half of
-    the nodes at random move to the community of a neighbour with the greatest
-    gain; moves that would not raise modularity are left out.  Numbers from 0.
-    """
-    rng = np.random.default_rng(seed)
-    label = np.arange(n)
-    while True:
-        com = _moves(n, a, b, w, resolution, sweeps, rng)
-        names, com = np.unique(com, return_inverse=True)
-        label = com[label]
-        if len(names) == n:
-            return label
-        n = len(names)
-        a, b = com[a], com[b]
-        code, inv = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_inverse=True)
-        w = np.bincount(inv, w)
-        a, b = code // n, code % n
-
-
-def _moves(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float, sweeps: int, rng: np.random.Generator) -> np.ndarray:
-    com = np.arange(n)
-    degree = np.bincount(a, w, n) + np.bincount(b, w, n)
-    all2 = degree.sum()
-    if not all2:
-        return com
-    out = a != b
-    src, dst, wt = np.r_[a[out], b[out]], np.r_[b[out], a[out]], np.r_[w[out], w[out]]
-    if not len(src):
-        return com
-    order = np.argsort(src, kind="stable")
-    src, dst, wt = src[order], dst[order], wt[order]
-    for sweep in range(sweeps):
-        weight = np.bincount(com, degree, n)
-        moving = rng.random(n) < 0.5
-        e = np.flatnonzero(moving[src])
-        if not len(e):
-            continue
-        key = src[e] * n + com[dst[e]]
-        by = np.argsort(key)
-        key = key[by]
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        into = np.add.reduceat(wt[e][by], at)
-        node, to = key[at] // n, key[at] % n
-        same = to == com[node]
-        stay = np.zeros(n)
-        stay[node[same]] = into[same]
-        gain = into - resolution * degree[node] * (weight[to] - np.where(same, degree[node], 0)) / all2
-        here = stay - resolution * degree * (weight[com] - degree) / all2
-        # best target of each node: the greatest gain, ties to the lesser community
-        best = np.full(n, -np.inf)
-        np.maximum.at(best, node, gain)
-        top = gain >= best[node]
-        target = np.full(n, n)
-        np.minimum.at(target, node[top], to[top])
-        go = moving & (best > here + 1e-12) & (target < n)
-        go &= target != com
-        if not go.any() and sweep > 1:
-            break
-        com[go] = target[go]
-    return com
-
-
-def modularity(a: np.ndarray, b: np.ndarray, w: np.ndarray, com: np.ndarray, resolution: float = 1.0) -> float:
-    """Modularity of the communities ``com``."""
-    degree = np.bincount(a, w, len(com)) + np.bincount(b, w, len(com))
-    all2 = degree.sum()
-    inside = 2 * w[com[a] == com[b]].sum() / all2
-    return float(inside - resolution * (np.bincount(com, degree) ** 2).sum() / all2**2)

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelattice.llm.profiles import filled, kmeans, nearest, packed, sample, unpacked
+from corelattice.functions.vectors import kmeans, nearest
+from corelattice.llm.profiles import filled, sample, unpacked
 from corelattice.plans.lineage import written
 
 SAMPLE = 131_072  # vectors that the index is fitted on, at most

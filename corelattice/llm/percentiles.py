@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corelattice.llm.cells import matrix
+from corelattice.functions.vectors import matrix
 from corelattice.plans.lineage import written
 from corelattice.plans.sizes import broadcast_if_small
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelattice.llm.cells import matrix
+from corelattice.functions.vectors import matrix
 from corelattice.plans.lineage import written
 
 
@@ -59,24 +59,6 @@ def sample(df: DataFrame, key: str, width: int, rows: int, n: int) -> np.ndarray
     return unpacked(got["v"], width).copy()
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
-    """Centres of ``k`` clusters (fewer if there are fewer rows)."""
-    k = max(1, min(k, len(x)))
-    c = x[rng.choice(len(x), k, replace=False)].astype(np.float32)
-    for _ in range(rounds):
-        a = nearest(x, c)
-        n = np.bincount(a, minlength=k).astype(np.float32)
-        s = np.stack([np.bincount(a, x[:, j], k) for j in range(x.shape[1])], axis=1)
-        c = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c).astype(np.float32)
-    return c
-
-
-def nearest(x: np.ndarray, c: np.ndarray, block: int = 16384) -> np.ndarray:
-    """Number of the nearest centre of each row."""
-    half = (c * c).sum(1) / 2
-    return np.concatenate([np.argmin(half - x[i : i + block] @ c.T, axis=1) for i in range(0, len(x), block)]) if len(x) else np.empty(0, np.int64)
-
-
 def filled(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """``x`` with missing values taken from the centre nearest in the values present."""
     gaps = np.isnan(x)
