@@ -124,4 +124,4 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
     bins = packed.groupBy("bin").agg(F.sum("piece_size").alias("used"))
     out = bins.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.coalesce(F.max("used"), F.lit(0)).alias("fullest"))
     out = out.withColumn("least_containers", F.ceil(F.col("tokens") / F.lit(capacity)).cast("long"))
-    return out.withColumn("filled", F.round(F.col("tokens") / (F.col("containers") * capacity), 6))
+    return out.withColumn("filled", F.round(F.col("tokens") / F.nullif(F.col("containers") * capacity, F.lit(0)), 6))
