@@ -39,8 +39,7 @@ def descend(x: np.ndarray, links: int = LINKS, rounds: int = ROUNDS, seed: int =
         first = np.searchsorted(to, here[:, 0])
         last = np.searchsorted(to, here[:, 0], "right")
         back = np.where(first[:, None] + np.arange(k // 2) < last[:, None], back_from[np.minimum(first[:, None] + np.arange(k // 2), len(by) - 1)], here)
-        pick = rng.permutation(k)[: k // 2]
-        mid = np.concatenate([np.where(idx[:, pick] < 0, here, idx[:, pick]), back[:, : k // 2]], axis=1)
+        mid = np.concatenate([np.where(idx < 0, here, idx), back], axis=1)
         far = idx[mid][:, :, rng.permutation(k)[: max(2, k // 2)]].reshape(n, -1)
         cand = np.concatenate([back, np.where(far < 0, here, far)], axis=1)
         cd = sq[:, None] + sq[cand] - 2 * np.einsum("ijk,ik->ij", x[cand], x)
@@ -80,7 +79,7 @@ def _merged(idx: np.ndarray, dist: np.ndarray, cand: np.ndarray, cd: np.ndarray,
     """The ``k`` nearest of kept and candidate neighbours, each once."""
     # only what beats the farthest kept one can come in
     cd = np.where(cd >= dist.max(axis=1)[:, None], np.inf, cd)
-    cap = min(k, cd.shape[1])
+    cap = min(2 * k, cd.shape[1])
     few = np.argpartition(cd, cap - 1, axis=1)[:, :cap]
     ids = np.concatenate([idx, np.take_along_axis(cand, few, 1)], axis=1)
     ds = np.concatenate([dist, np.take_along_axis(cd, few, 1)], axis=1)

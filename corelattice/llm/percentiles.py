@@ -17,6 +17,7 @@ gives a rank error of at most ``eps`` times the number of values.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ def sorted_chunks(df: DataFrame, group: str, values: str, width: int, key: str,
     ``values`` is an array of ``width`` numbers.  NULL and NaN are left out, as
     are rows with a NULL group and arrays of another length.  A group with more
     rows than ``chunk_rows`` is dealt by the hash of ``key`` over as many chunks
-    as it needs, so no task sees a group of unbounded size.
+    as it needs, so no task sees a group of unbounded size.  Chunk tables of
+    disjoint rows may be put together by union.
     """
     rows = df.where(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("grp"), F.col(key).alias("__key"), F.col(values).alias("__v"))
     big = rows.groupBy("grp").count().where(F.col("count") > chunk_rows)
@@ -51,11 +53,13 @@ def sorted_chunks(df: DataFrame, group: str, values: str, width: int, key: str,
         n = (~np.isnan(m)).sum(axis=0)
         flat = np.concatenate([m[: n[j], j] for j in range(width)]) if width else np.empty(0)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat))
-        head = [pa.array([t["grp"][0].as_py()] * width, pa.string()), pa.array([t["chunk"][0].as_py()] * width, pa.int64())]
+        # a number from the rows' own keys: chunks of separate days or files keep apart when put together
+        own = hashlib.blake2b(repr(sorted(t["__key"].to_pylist())).encode(), digest_size=8).digest()
+        head = [pa.array([t["grp"][0].as_py()] * width, pa.string()), pa.array([int.from_bytes(own, "big", signed=True)] * width, pa.int64())]
         out = pa.Table.from_arrays([*head, pa.array(np.arange(width, dtype=np.int32)), pa.array(n.astype(np.int64)), lists], ["grp", "chunk", "pos", "n", "vals"])
         return out.filter(pa.array(n > 0))
 
-    return dealt.drop("__key", "__chunks").groupBy("grp", "chunk").applyInArrow(sort, CHUNKS)
+    return dealt.drop("__chunks").groupBy("grp", "chunk").applyInArrow(sort, CHUNKS)
 
 
 def _ranks(sizes: DataFrame, percents: list[float]) -> DataFrame:
