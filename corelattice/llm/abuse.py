@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 LABELLED = 12_000  # labelled documents used for fitting, at most
 ROUNDS = 150
 SLIP = 0.03  # share of labels of either kind that readers get wrong, as the likelihood allows for it
+LONGEST = 64  # letters of a known word, at most
 _BROKEN = re.compile(r"(?<=\w)[-=¬~] ?\n ?(?=\w)")
 _SPACED = re.compile(r"(?<!\S)(?:\w ){2,}\w(?!\w)")
 _ENDS = re.compile(r"[.;!?]+(?=\s|$)")
@@ -69,7 +70,7 @@ class Words:
         for w, n in sorted(counts.items(), key=lambda p: (-p[1], p[0])):
             if n < least:
                 break
-            if not w:
+            if not w or len(w) > LONGEST:
                 continue
             self.number[w] = len(self.number)
             if len(w) >= 4:
@@ -92,13 +93,13 @@ class Words:
     def _read(self, w: str) -> int:
         if w in self.number:
             return self.number[w]
-        if len(w) < 4:
+        if len(w) < 4 or len(w) > LONGEST:
             return -1
         for h in _holes(w):
             if h in self.pattern:
                 return self.pattern[h]
         marks = _HIDDEN.findall(w)
-        if 2 <= len(marks) < len(w) - 1 and len(w) <= 24:  # several letters hidden, each by a mark
+        if 2 <= len(marks) < len(w) - 1 and len(w) <= LONGEST:  # several letters hidden, each by a mark
             like = re.compile("".join("." if _HIDDEN.match(c) else re.escape(c) for c in w))
             for known in self.by_length.get(len(w), ()):
                 if like.fullmatch(known):

@@ -35,6 +35,8 @@ from corelattice.plans.sizes import broadcast_if_small
 SAMPLE = 65_536  # rows that trees and centres are fitted on, at most
 BLOCK = 8192  # rows of a block, about
 SPAN = 2.0
+# Below 1, so that a dense cloud of few dimensions, whose graph modularity would cut into patches, stays whole.
+RESOLUTION = 0.2
 LINKS_ON_DRIVER = 1_000_000  # links between contracted communities on one machine, at most
 LEAST = 10  # a cluster has more members than this
 
@@ -122,7 +124,7 @@ def _degrees(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, com: np.ndarra
     return pa.array(inner), pa.ListArray.from_arrays(offsets, pa.array(to[by])), pa.ListArray.from_arrays(offsets, pa.array(wt[by]))
 
 
-def similarity_clusters(df: DataFrame, key: str, width: int, also: str, typical: bool = False, resolution: float = 1.0, seed: int = 0) -> DataFrame:
+def similarity_clusters(df: DataFrame, key: str, width: int, also: str, typical: bool = False, resolution: float = RESOLUTION, seed: int = 0) -> DataFrame:
     """``key``, ``also``, ``cluster`` of each row (and ``degree`` if ``typical``).
 
     ``df`` has ``key`` (BIGINT, unique), ``v`` (packed float32, NaN missing) and
