@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelattice.functions.vectors import kmeans, nearest
@@ -189,11 +189,12 @@ def nearest_neighbours(df: DataFrame, key: str, width: int, k: int, limit: float
     lesser key.  Of an empty table the result is empty.
     """
     spark = df.sparkSession
-    one = df.groupBy("v").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("copies"))
+    asked = F.coalesce(F.expr(queries), F.lit(False)) if queries else F.lit(True)
+    # a vector is searched if any of its rows is asked for
+    one = df.groupBy("v").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("copies"), F.max(asked).alias("ask"))
     one = written(one, "vectors")
     n = one.count()
     index = Index(sample(one, "k", width, SAMPLE, n), n, seed)
-    asked = queries.replace(key, "k") if queries else "true"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index
@@ -247,11 +248,11 @@ def nearest_neighbours(df: DataFrame, key: str, width: int, k: int, limit: float
         yield from _runs(held, width, found)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = one.select("k", "v", F.expr(asked).alias("ask")).mapInArrow(deal, "leaf long, kind byte, k long, v binary")
+    dealt = one.select("k", "v", "ask").mapInArrow(deal, "leaf long, kind byte, k long, v binary")
     met = dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(search, "k long, neighbour long, distance double")
     top = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k)  # at most k of each leaf visited
     near = met.groupBy("k").agg(top.alias("n"))
-    return _with_copies(df, one, near, key, k, queries)
+    return _with_copies(df, one, near, key, k, asked)
 
 
 def _runs(held: list[pa.RecordBatch], width: int, found) -> Iterator[pa.RecordBatch]:
@@ -266,13 +267,13 @@ def _runs(held: list[pa.RecordBatch], width: int, found) -> Iterator[pa.RecordBa
         yield from found(int(v), kind[a:b], keys[a:b], x[a:b])
 
 
-def _with_copies(df: DataFrame, one: DataFrame, near: DataFrame, key: str, k: int, queries: str | None) -> DataFrame:
+def _with_copies(df: DataFrame, one: DataFrame, near: DataFrame, key: str, k: int, asked: Column) -> DataFrame:
     """From vectors back to rows: a row's nearest are its copies, then the rows of the near vectors."""
     flat = near.select("k", F.explode("n").alias("n")).select("k", F.col("n.neighbour").alias("neighbour"), F.col("n.distance").alias("distance"))
     several = one.where("copies > 1")
     if not several.take(1):
         return flat.select(F.col("k").alias(key), "neighbour", "distance")
-    rows = df.join(several.select("v", "k"), "v").select(F.col(key).alias("row"), "k")
+    rows = df.join(several.select("v", "k"), "v").select(F.col(key).alias("row"), "k", asked.alias("ask"))
     rows = written(rows, "copies")
     salt = F.pmod(F.xxhash64("row"), F.lit(64))
     heads = rows.withColumn("r", F.row_number().over(Window.partitionBy("k", salt).orderBy("row"))).where(F.col("r") <= k + 1)
@@ -284,8 +285,6 @@ def _with_copies(df: DataFrame, one: DataFrame, near: DataFrame, key: str, k: in
     spread = spread.unionByName(heads.select("k", F.lit(0.0).alias("distance"), F.explode("heads").alias("neighbour")))
     lists = spread.groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k + 1).alias("n"))
     alone = lists.join(several.select("k"), "k", "left_anti").withColumn("row", F.col("k"))
-    many = lists.join(rows, "k")
-    if queries:
-        many = many.where(queries.replace(key, "row"))
+    many = lists.join(rows, "k").where("ask").drop("ask")
     out = alone.unionByName(many, allowMissingColumns=True).select("row", F.expr(f"slice(filter(n, p -> p.neighbour <> row), 1, {k})").alias("n"))
     return out.select(F.col("row").alias(key), F.explode("n").alias("n")).select(key, F.col("n.neighbour").alias("neighbour"), F.col("n.distance").alias("distance"))

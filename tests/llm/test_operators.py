@@ -191,6 +191,16 @@ def test_copies_are_each_others_neighbours(spark):
     assert neighbours.nearest_neighbours(base.limit(0), "cell_key", 4, 3).count() == 0
 
 
+def test_a_row_asked_for_has_its_nearest_though_its_least_copy_is_not_asked_for(spark):
+    m = np.random.default_rng(8).normal(size=(300, 4)) + 5
+    m[200] = m[57]
+    got: dict = {}
+    for r in neighbours.nearest_neighbours(_profiles(spark, m), "cell_key", 4, 5, queries="cell_key % 100 = 0").collect():
+        got.setdefault(r.cell_key, []).append((r.distance, r.neighbour))
+    d = np.sqrt(((m - m[200]) ** 2).sum(1))
+    assert set(got) == {0, 100, 200} and {n for _, n in got[200]} == set(np.argsort(d, kind="stable")[:6]) - {200}
+
+
 # clusters -------------------------------------------------------------------
 
 
