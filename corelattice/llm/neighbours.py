@@ -4,10 +4,12 @@ A tree of two levels of centres, fitted on a bounded sample, deals the vectors
 to leaves; the number of leaves follows the number of vectors, and a region with
 many vectors gets many leaves.  What is left after the leaf's centre is encoded
 with ``BOOKS`` full-dimensional codebooks by beam search, and the norm of the
-sum of the chosen words is kept.  A query's products with all words are its
+sum of the chosen words and its distance from the vector are kept.  A query's products with all words are its
 lookup table: a vector's score is its norm less twice the sum of the table's
 entries at its codes.  The best ``RERANK`` vectors of each leaf visited are then
-measured exactly, over the values present in both.
+measured exactly, over the values present in both, and so is every other vector
+that by its score and error could be among the nearest: nothing in a leaf
+visited is missed, however dense it is.
 
 Leaves visited: with a greatest distance, all that the ball around the query
 can reach (bisector tests at both levels, so no leaf that holds a vector within
@@ -38,6 +40,7 @@ BOOKS, WORDS, BEAM = 4, 64, 4
 RERANK = 32
 PROBES = 24
 HELD = 32_768  # vectors of a leaf compared at a time
+PAIRS, MEASURED = 4_194_304, 262_144  # pairs scored, and measured, at a time
 
 
 class Index:
@@ -106,8 +109,8 @@ class Index:
         i = int(np.searchsorted(self.first, leaf, "right")) - 1
         return self.subs[i][leaf - self.first[i]]
 
-    def encode(self, left: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (rows, books) by beam search, and the squared norms of the words' sums."""
+    def encode(self, left: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes (rows, books) by beam search, the squared norms of the words' sums, and their distances from the rows."""
         n = len(left)
         rest = left[:, None, :]  # rows, beam, width
         codes = np.zeros((n, 1, 0), np.uint8)
@@ -124,8 +127,9 @@ class Index:
             codes = np.concatenate([codes[at, came], word[:, :, None].astype(np.uint8)], axis=2)
         best = np.argmin((rest * rest).sum(-1), axis=1)
         at = np.arange(n)
-        made = left - rest[at, best]
-        return codes[at, best], (made * made).sum(1)
+        rest = rest[at, best]
+        made = left - rest
+        return codes[at, best], (made * made).sum(1), np.sqrt((rest * rest).sum(1))
 
 
 def _reached(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -147,34 +151,65 @@ def _spans(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _best(index: Index, leaf: int, keys: np.ndarray, own: np.ndarray, asked: np.ndarray, asked_keys: np.ndarray, k: int, limit: float | None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Query keys, neighbour keys and distances: the ``k`` nearest in one leaf."""
+    """Query keys, neighbour keys and distances: the ``k`` nearest in one leaf.
+
+    The ``RERANK`` best by score are measured first.  Of the rest, all that by
+    their error could be within ``limit`` and as near as the k-th of these.
+    """
     c = index.centre(leaf)
-    gaps = bool(np.isnan(own).any())
+    gap, ask_gap = np.isnan(own).any(axis=1), np.isnan(asked).any(axis=1)
+    gaps = bool(gap.any() or ask_gap.any())
     full = np.where(np.isnan(own), c, own) if gaps else own
-    codes, norms = index.encode(full - c)
+    codes, norms, errors = index.encode(full - c)
+    words = sum(np.sqrt((book * book).sum(1).max()) for book in index.books)  # no sum of words is longer
+    errors = np.where(gap, np.inf, errors * 1.00001 + 2e-6 * (np.abs(full).max() + np.abs(c).max() + words))  # no bound over the values present
     out = []
-    for i in range(0, len(asked), 1024):
-        q, qk = asked[i : i + 1024], asked_keys[i : i + 1024]
+    step = max(1, min(1024, PAIRS // len(own)))
+    for i in range(0, len(asked), step):
+        q, qk = asked[i : i + step], asked_keys[i : i + step]
         mid = np.where(np.isnan(q), c, q) - c
         score = np.tile(norms, (len(q), 1))
         for m, book in enumerate(index.books):
             score -= np.take(2 * mid @ book.T, codes[:, m], axis=1)
-        take = min(RERANK, score.shape[1])
-        near = np.argpartition(score, take - 1, axis=1)[:, :take] if take < score.shape[1] else np.tile(np.arange(take), (len(q), 1))
-        diff = own[near] - q[:, None, :]
-        if gaps or np.isnan(q).any():
-            diff = np.nan_to_num(diff)
-        d = np.einsum("ijk,ijk->ij", diff, diff, dtype=np.float64)
-        d[keys[near] == qk[:, None]] = np.inf
-        if limit is not None:
-            d[d > limit * limit] = np.inf
-            if not np.isfinite(d).any():
-                continue
-        some = min(k, take)
-        pick = np.argpartition(d, some - 1, axis=1)[:, :some]
-        dist = np.take_along_axis(d, pick, 1)
-        r, s = np.nonzero(np.isfinite(dist))
-        out.append((qk[r], keys[near[r, pick[r, s]]], np.sqrt(dist[r, s])))
+
+        def measured(r: np.ndarray, j: np.ndarray) -> np.ndarray:
+            diff = own[j] - q[r]
+            if gaps:
+                diff = np.nan_to_num(diff)
+            d = np.einsum("ij,ij->i", diff, diff, dtype=np.float64)
+            d[keys[j] == qk[r]] = np.inf
+            if limit is not None:
+                d[d > limit * limit] = np.inf
+            return d
+
+        take = min(RERANK, len(own))
+        near = np.argpartition(score, take - 1, axis=1)[:, :take] if take < len(own) else np.tile(np.arange(take), (len(q), 1))
+        r, j = np.repeat(np.arange(len(q)), take), near.ravel()
+        d = measured(r, j)
+        hits = [(r, j, d)]
+        if take < len(own):
+            bound = np.full(len(q), np.inf if limit is None else limit)
+            if k <= take:
+                bound = np.minimum(bound, np.sqrt(np.partition(d.reshape(len(q), take), k - 1, axis=1)[:, k - 1]))
+            bound[ask_gap[i : i + step]] = np.inf
+            length = np.sqrt((mid * mid).sum(1))
+            score += (length * length - 4e-6 * (length + words) ** 2)[:, None]  # squared distances from the sums of words, less what rounding adds
+            could = score <= (bound.astype(np.float32)[:, None] * np.float32(1.00001) + errors.astype(np.float32)) ** 2
+            could[np.arange(len(q))[:, None], near] = False
+            r, j = np.nonzero(could)
+            for e in range(0, len(r), MEASURED):
+                r2, j2 = r[e : e + MEASURED], j[e : e + MEASURED]
+                d = measured(r2, j2)
+                some = d <= bound[r2] ** 2 * 1.00001
+                hits.append((r2[some], j2[some], d[some]))
+        r, j, d = (np.concatenate(h) for h in zip(*hits))
+        some = np.isfinite(d)
+        r, j, d = r[some], j[some], d[some]
+        order = np.lexsort((keys[j], d, r))
+        r, j, d = r[order], j[order], d[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+        if first.any():
+            out.append((qk[r[first]], keys[j[first]], np.sqrt(d[first])))
     return out
 
 

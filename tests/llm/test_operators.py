@@ -201,6 +201,24 @@ def test_a_row_asked_for_has_its_nearest_though_its_least_copy_is_not_asked_for(
     assert set(got) == {0, 100, 200} and {n for _, n in got[200]} == set(np.argsort(d, kind="stable")[:6]) - {200}
 
 
+@pytest.mark.parametrize("spread, limit", [(0.05, None), (0.05, 0.2), (0.01, None), (0.01, 0.06)])
+def test_the_nearest_in_a_dense_leaf_are_exact(spread, limit):
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(1200, 16)).astype(np.float32) + 3
+    m[:400] = m[0] + spread * rng.normal(size=(400, 16))
+    m[::50, 3] = np.nan
+    index = neighbours.Index(m, len(m))
+    own, keys = m[:600], np.arange(600)
+    q, nb, d = (np.concatenate(c) for c in zip(*neighbours._best(index, index.leaf(m[1:2])[0], keys, own, own, keys, 5, limit)))
+    diff = np.nan_to_num(own[:, None] - own[None])
+    true = np.sqrt((diff.astype(np.float64) ** 2).sum(-1))
+    true[keys, keys] = np.inf
+    if limit is not None:
+        true[true > limit] = np.inf
+    want = {(i, j) for i in keys for j in np.argsort(true[i], kind="stable")[:5] if np.isfinite(true[i, j])}
+    assert set(zip(q.tolist(), nb.tolist())) == want and np.allclose(d, true[q, nb])
+
+
 # clusters -------------------------------------------------------------------
 
 
