@@ -210,6 +210,26 @@ def test_large_graphs_move_in_parallel_first(spark, monkeypatch):
         cluster.parameter_search(d, d, "first", [1], [1.0])
 
 
+def test_contracted_nodes_are_connected(spark):
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 6000, (2, 9000))
+    a, b, w = a[a < b], b[a < b], rng.choice([0.2, 1.0, 5.0], (a < b).sum())
+    d = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), w.tolist())), "a long, b long, w double")
+    com = np.arange(6000)
+    for r in cluster._contracted(d, 1.0)[1].collect():
+        com[r.old] = r.new
+    com = np.unique(com, return_inverse=True)[1]
+    assert len(set(com)) < 6000 and len(set(connected(6000, a, b, com))) == len(set(com))
+
+
+def test_large_graphs_with_nothing_to_merge_go_to_no_task(spark, monkeypatch):
+    d = spark.createDataFrame([(i, i, 1.0) for i in range(50)], "first long, second long, weight double")
+    monkeypatch.setattr(cluster, "LINKS_IN_TASK", 20)
+    monkeypatch.setattr(cluster, "_clustered", None)
+    got = cluster.graph_clusters(d, [1.0], 0).toPandas()
+    assert sorted(got.label) == list(range(50)) and np.allclose(got.quality, 1 - 1 / 50)
+
+
 # agreement, tests, survival -------------------------------------------------
 
 
