@@ -85,7 +85,7 @@ def mix(items: DataFrame, targets: DataFrame, key: str, source: str, size: str,
     total = sum(r.w for r in counted)
     goals = sorted(goal.collect(), key=lambda r: r.s)
     known = {r.s: r for r in counted}
-    caps = [(known[g.s].w * g.max_repeats) // block if g.s in known else 0 for g in goals]
+    caps = [-(-known[g.s].w * g.max_repeats // block) if g.s in known else 0 for g in goals]
     quota = sainte_lague([g.target_share for g in goals], total // block, caps)
     shards = min(MOST_SHARDS, max([1, *(-(-known[g.s].pages // SHARD_ROWS) for g in goals if g.s in known)]))
 
@@ -93,9 +93,10 @@ def mix(items: DataFrame, targets: DataFrame, key: str, source: str, size: str,
     dealt = own.where("w > 0").join(F.broadcast(named.select("s", "source", "max_repeats")), "s").withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int"))
     parts = dealt.groupBy("s", "shard").agg(F.sum("w").alias("w")).collect()  # at most shards x sources
     rows = []
-    for g, blocks in zip(goals, quota):
+    for g, blocks, cap in zip(goals, quota, caps):
         mine = sorted((p for p in parts if p.s == g.s), key=lambda p: p.shard)
-        share = sainte_lague([p.w for p in mine], blocks, [-(-p.w * g.max_repeats // block) for p in mine])
+        most = [-(-p.w * g.max_repeats // block) for p in mine]
+        share = most if blocks == cap else sainte_lague([p.w for p in mine], blocks, most)  # a source at its cap gives all
         rows += [(g.s, p.shard, p.w, min(n * block, p.w * g.max_repeats)) for p, n in zip(mine, share)]
     quotas = F.broadcast(spark.createDataFrame(rows, "s string, shard int, shard_w long, want long"))
     seeded = Window.partitionBy("s", "shard").orderBy(F.xxhash64(F.lit(seed), "k"), "k")

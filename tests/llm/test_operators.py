@@ -143,6 +143,13 @@ def test_mix_reaches_its_targets(spark):
     assert empty.count() == 0 and {x.reached_share for x in rep.collect()} == {0.0}
 
 
+def test_a_source_short_of_its_target_gives_all_its_tokens(spark):
+    d = spark.createDataFrame([(i, "big", 100) for i in range(500)] + [(1000 + i, "tiny", 100) for i in range(4)] + [(2000 + i, "short", 100) for i in range(14)], "k long, source string, size long")
+    goal = spark.createDataFrame([("big", 0.8, 2), ("tiny", 0.1, 2), ("short", 0.1, 2)], "source string, target_share double, max_repeats int")
+    report = {r.source: r.drawn for r in mixing.mix(d, goal, "k", "source", "size")[1].collect()}
+    assert report["tiny"] == 800 and report["short"] == 2800
+
+
 # neighbours -----------------------------------------------------------------
 
 
