@@ -36,7 +36,7 @@ def graph_clusters(edges: DataFrame, resolutions: list[float], least: int = 10,
     for r in resolutions:
         small, names, merged = edges, None, True
         while merged and (names is None or small.count() > LINKS_IN_TASK):
-            small, step, merged = _contracted(small, r)
+            small, step, merged = contracted(small, r)
             names = step if names is None else written(names.join(step.select(F.col("old").alias("top"), F.col("new").alias("next")), "top").select("old", F.col("next").alias("new")), "names")
             names = names.withColumnRenamed("new", "top")
         sizes = names.groupBy("top").agg(F.count(F.lit(1)).alias("n"))
@@ -80,7 +80,7 @@ def _clustered(r: float, least: int, seed: int):
     return run
 
 
-def _contracted(edges: DataFrame, resolution: float, sweeps: int = 6) -> tuple[DataFrame, DataFrame, bool]:
+def contracted(edges: DataFrame, resolution: float, sweeps: int = 6) -> tuple[DataFrame, DataFrame, bool]:
     """A level of moves as joins and aggregates: the contracted edges, ``old`` -> ``new``, and whether any nodes became one."""
     both = edges.where("a <> b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     degree = both.unionByName(edges.where("a = b").withColumn("w", 2 * F.col("w"))).groupBy("a").agg(F.sum("w").alias("k"))

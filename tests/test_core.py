@@ -216,7 +216,7 @@ def test_contracted_nodes_are_connected(spark):
     a, b, w = a[a < b], b[a < b], rng.choice([0.2, 1.0, 5.0], (a < b).sum())
     d = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), w.tolist())), "a long, b long, w double")
     com = np.arange(6000)
-    for r in cluster._contracted(d, 1.0)[1].collect():
+    for r in cluster.contracted(d, 1.0)[1].collect():
         com[r.old] = r.new
     com = np.unique(com, return_inverse=True)[1]
     assert len(set(com)) < 6000 and len(set(connected(6000, a, b, com))) == len(set(com))
