@@ -1,18 +1,23 @@
 """Similarity clusters: neighbour descent, then modularity communities.
 
-The rows are dealt to blocks of bounded size twice, by two random-projection
-trees fitted on a bounded sample (every row is dealt).  In each block neighbour
-descent builds the graph of nearest neighbours.  The graph of the first dealing
-is brought to communities block by block (the first level of the moves); the
-links of the second dealing, which joins what the first one cut, are added up
-between these communities at once, so no table of links is ever written.  What
-is left is the contracted graph of the whole table.  It is contracted further,
-in parallel, until it is small enough for the last level of moves on one
-machine; a bound of its size is checked.
-
-A link longer than ``SPAN`` times the block's median is left out: rows of a
-cluster that a cut strands among strangers are joined to their own by the other
-dealing.
+Centres fitted on a bounded sample part the rows into cells; every row is in the
+cell of its nearest centre and visits each further cell whose border it is as
+near to as near neighbours are to each other, so that a row finds its neighbours
+across the borders.  The width of that strip is read off the sample.  In each
+cell neighbour descent gives the lists of the cell's own rows; a first level of
+modularity moves turns these rows into small communities.  Links to rows that
+are visiting are added up between the communities after a join on the visitor.
+What is left is the contracted graph of the whole table.  It is contracted
+further by joins until a machine can hold it, and brought to communities there.
+
+Modularity cuts a dense cloud into patches that it likes better than the whole.
+Two communities are put together again if at least ``SHARE`` of the links of the
+smaller one lead to the other and these links are at most ``STRETCH`` times as
+long as the links inside: so it is across a cut through a cloud, whereas between
+clouds that lie apart hardly any links run, and long ones.
+
+Exact copies are one row of the graph; a vector whose copies are a sizeable
+share of the table is dealt by hash, beyond those that stand for it.
 """
 
 from __future__ import annotations
@@ -25,95 +30,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelattice.functions.modularity import communities, modularity, relabel_by_size
-from corelattice.functions.vectors import kmeans
+from corelattice.functions.modularity import communities, modularity
+from corelattice.functions.vectors import kmeans, nearest
 from corelattice.llm import descent
 from corelattice.llm.profiles import filled, packed, sample, unpacked
+from corelattice.operators.cluster import contracted
 from corelattice.plans.lineage import written
+from corelattice.plans.ranks import numbered
 from corelattice.plans.sizes import broadcast_if_small
 
-SAMPLE = 65_536  # rows that trees and centres are fitted on, at most
-BLOCK = 8192  # rows of a block, about
-SPAN = 2.0
-# Below 1, so that a dense cloud of few dimensions, whose graph modularity would cut into patches, stays whole.
-RESOLUTION = 0.2
+SAMPLE = 65_536  # rows that the centres are fitted on, at most
+CELL = 65_536  # rows of a cell, about
+FEW, LITTLE = 32, 4096  # cells of fewer rows, for side by side work, down to LITTLE rows, while they are no more than FEW
+PER_CENTRE = 16  # rows of the sample for a centre, at least
+REACHED = 0.95  # share of the sample's nearest pairs that the strip along the borders is to hold
+HOT = 32  # a vector that is so often in the sample is dealt by hash besides
+RESOLUTION = 1.0
+SHARE, STRETCH = 0.005, 1.4
 LINKS_ON_DRIVER = 1_000_000  # links between contracted communities on one machine, at most
 LEAST = 10  # a cluster has more members than this
+_COPY = 1 << 62  # numbers of the communities of hot vectors
 
 
-class Tree:
-    """A random-projection tree: direction and threshold of every inner node, in heap order."""
+class Cells:
+    """Centres, the width of the strip along the cells' borders, and the hot vectors."""
 
-    def __init__(self, x: np.ndarray, depth: int, n: int, seed: int) -> None:
+    def __init__(self, x: np.ndarray, n: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        self.depth = depth
-        nodes = (1 << depth) - 1
-        self.turn = np.zeros((max(nodes, 1), x.shape[1]), np.float32)
-        self.cut = np.zeros(max(nodes, 1), np.float32)
-        at = np.zeros(len(x), np.int64)
-        for node in range(nodes):
-            rows = np.flatnonzero(at == node)
-            if len(rows) > 1:
-                a, b = x[rng.choice(rows, 2, replace=False)]
-                r = a - b if (a != b).any() else rng.standard_normal(x.shape[1]).astype(np.float32)
-                self.turn[node] = r / np.sqrt((r * r).sum())
-                self.cut[node] = np.median(x[rows] @ self.turn[node])
-            at[rows] = 2 * node + 1 + (x[rows] @ self.turn[node] > self.cut[node])
-        share = np.bincount(at - nodes, minlength=1 << depth) / max(len(x), 1)
-        # a block that holds many rows (copies that no direction parts) is dealt by hash besides
-        self.salts = np.maximum(1, np.ceil(share * n / (2 * BLOCK))).astype(np.int64)
-
-    def block(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), np.int64)
-        for _ in range(self.depth):
-            at = 2 * at + 1 + (np.einsum("ij,ij->i", x, self.turn[at]) > self.cut[at])
-        return at - ((1 << self.depth) - 1)
-
-    def dealt(self, x: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Block and salt as one number: block * 2^20 + salt."""
-        b = self.block(x)
-        h = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-        return (b << 20) + h % self.salts[b]
-
-
-def _graph(x: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    idx, dist = descent.descend(x, rounds=rounds)
-    if dist.size:
-        far = dist > SPAN**2 * max(np.median(dist[idx >= 0]) if (idx >= 0).any() else 0, 1e-12)
-        idx = np.where(far, -1, idx)
-    return descent.links_of(idx, dist)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Whole blocks of a stream sorted by ``column``, cut where one is longer than two blocks."""
+        x = x if len(x) else np.zeros((1, x.shape[1]), np.float32)
+        wanted = max(-(-n // CELL), min(FEW, n // LITTLE), 1)
+        self.centres = kmeans(x, min(wanted, max(1, len(x) // PER_CENTRE)), 10, rng)
+        most = 2 * max(len(x) / len(self.centres), PER_CENTRE)
+        for _ in range(16):  # cells with much more than their share are cut
+            own = nearest(x, self.centres)
+            size = np.bincount(own, minlength=len(self.centres))
+            large = [i for i in np.flatnonzero(size > most) if (x[own == i] != x[np.argmax(own == i)]).any()]
+            if wanted == 1 or not large:
+                break
+            self.centres = np.concatenate([np.delete(self.centres, large, axis=0), *(kmeans(x[own == i], 2, 10, rng) for i in large)])
+        c = self.centres
+        self.half = (c * c).sum(1) / 2
+        self.apart = np.sqrt(np.maximum(2 * (self.half[:, None] + self.half - c @ c.T), 1e-12))
+        whole, seen = np.unique(x, axis=0, return_counts=True)
+        self.strip = 0.0
+        if len(c) > 1 and len(whole) > 1:
+            few = rng.permutation(len(whole))[:2048]
+            rank = min(max(1, round(descent.LINKS * len(x) / max(n, 1))), len(whole) - 1)  # as far as the lists reach, in a sample so much thinner
+            d = np.concatenate([_distances(whole[few[i : i + 128]], whole) for i in range(0, len(few), 128)])
+            d[np.arange(len(few)), few] = np.inf
+            near = np.argpartition(d, rank - 1, axis=1)[:, :rank].reshape(-1)
+            behind = self._behind(whole[near])[np.arange(len(near)), np.repeat(nearest(whole[few], c), rank)]
+            self.strip = float(np.quantile(behind, REACHED)) + 1e-6
+        self.hot = {v.tobytes(): (i, max(1, int(m / len(x) * n / CELL))) for i, (v, m) in enumerate(zip(whole[seen >= HOT], seen[seen >= HOT]))}
+
+    def _behind(self, x: np.ndarray) -> np.ndarray:
+        """How far each row lies behind each cell's border; 0 in its own cell."""
+        d = self.half - x @ self.centres.T
+        own = np.argmin(d, axis=1)
+        at = np.arange(len(x))
+        out = np.maximum(d - d[at, own][:, None], 0) / self.apart[own]
+        out[at, own] = 0
+        return out
+
+    def dealt(self, x: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, cells, whether the row is at home there, and the hot vector it is (-1: none).
+
+        Copies of a hot vector beyond those that stand for it are in cells of
+        their own, numbered after the others.
+        """
+        rows, cells, homes = [], [], []
+        for a in range(0, len(x), 4096):
+            s = self._behind(x[a : a + 4096])
+            r, c = np.nonzero(s <= self.strip)
+            rows.append(a + r)
+            cells.append(c)
+            homes.append(np.argmin(s, axis=1)[r] == c)
+        row, cell, home = (np.concatenate(p) if p else np.empty(0, np.int64) for p in (rows, cells, homes))
+        hot = np.full(len(x), -1)
+        if self.hot:
+            got = [self.hot.get(v.tobytes()) for v in np.ascontiguousarray(x)]
+            at = np.array([i for i, g in enumerate(got) if g is not None], np.int64)
+            if len(at):
+                hot[at] = [got[i][0] for i in at]
+                salts = np.array([got[i][1] for i in at])
+                salt = (keys[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % salts
+                away = np.zeros(len(x), np.int64)
+                away[at] = np.where(salt > 0, len(self.centres) + hot[at] + len(self.hot) * (salt - 1), 0)
+                kept = (away[row] == 0) | home.astype(bool)
+                row, cell, home = row[kept], cell[kept], home[kept]
+                cell = np.where(away[row] > 0, away[row], cell)
+        return row, cell, home.astype(bool), hot[row]
+
+    def count(self) -> int:
+        """How many cells there are, with those of copies."""
+        return len(self.centres) + len(self.hot) * max((s for _, s in self.hot.values()), default=0)
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The whole cells of a stream sorted by ``cell``."""
     held: list[pa.RecordBatch] = []
-    rows = 0
     last = None
     for t in batches:
-        if not t.num_rows:
-            continue
-        v = t[column].to_numpy()
-        cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1), len(v)]
+        v = t["cell"].to_numpy()
+        cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1), len(v)] if len(v) else [0]
         for a, b in zip(cuts, cuts[1:]):
-            if held and (v[a] != last or rows >= 2 * BLOCK):
+            if held and v[a] != last:
                 yield pa.Table.from_batches(held).combine_chunks()
-                held, rows = [], 0
+                held = []
             held.append(t.slice(a, b - a))
-            rows, last = rows + b - a, v[a]
+            last = v[a]
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _sums(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights added up by unordered pair."""
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((hi, lo))
-    lo, hi, w = lo[order], hi[order], w[order]
-    at = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]) if len(lo) else np.empty(0, np.int64)
-    return lo[at], hi[at], np.add.reduceat(w, at) if len(at) else w
+def _sums(a: np.ndarray, b: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Values added up by pair."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+    return a[at], b[at], *(np.add.reduceat(v[order], at) if len(at) else v for v in values)
 
 
-def _degrees(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, com: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+def _degrees(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, com: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
     """Of each row the weight to its own community, and to which others how much."""
     same = com[a] == com[b]
     inner = np.bincount(a[same], w[same], n) + np.bincount(b[same], w[same], n)
@@ -121,7 +163,45 @@ def _degrees(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, com: np.ndarra
     src, to, wt = np.r_[a, b], np.r_[com[b], com[a]], np.r_[w, w]
     by = np.argsort(src, kind="stable")
     offsets = pa.array(np.searchsorted(src[by], np.arange(n + 1)).astype(np.int32))
-    return pa.array(inner), pa.ListArray.from_arrays(offsets, pa.array(to[by])), pa.ListArray.from_arrays(offsets, pa.array(wt[by]))
+    return inner, pa.ListArray.from_arrays(offsets, pa.array(to[by])), pa.ListArray.from_arrays(offsets, pa.array(wt[by]))
+
+
+class _Graph:
+    """The graph of one cell: the links ``a``, ``b`` that its own rows have, and their first communities.
+
+    A link weighs 1 / (1 + distance) for each of its ends that has the other in its
+    list; ``c`` is the number of these ends.  Each of several copies is linked with the next ones in the order of keys.
+    """
+
+    def __init__(self, x: np.ndarray, home: np.ndarray, resolution: float, seed: int) -> None:
+        plain = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 4))).reshape(-1)
+        _, first, which = np.unique(plain, return_index=True, return_inverse=True)
+        order = np.argsort(first)  # vectors in the order of their first rows
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first, which = first[order], place[which.reshape(-1)]
+        idx, dist = descent.descend(x[first])
+        src = np.repeat(np.arange(len(first)), idx.shape[1])
+        dst, d = idx.reshape(-1).astype(np.int64), dist.reshape(-1)
+        good = (dst >= 0) & home[first][src]  # a visitor's list is made where it is at home
+        src, dst, w = first[src[good]], first[dst[good]], 1 / (1 + np.sqrt(d[good], dtype=np.float64))
+        out = ~home[dst]
+        self.far = src[out], dst[out], w[out]
+        a, b, w, c = _sums(np.minimum(src, dst)[~out], np.maximum(src, dst)[~out], w[~out], np.ones(int((~out).sum())))
+        rows = np.flatnonzero(home)
+        number = np.full(len(x), -1)
+        number[first] = np.arange(len(first))
+        com = communities(len(first), number[a], number[b], w, resolution, seed=seed)
+        self.com = com[which]
+        by = rows[np.lexsort((rows, which[rows]))]
+        rings = [(by[:-s], by[s:]) for s in range(1, min(descent.LINKS // 2, len(by) - 1) + 1)] if len(first) < len(x) else []
+        same = [(u[which[u] == which[v]], v[which[u] == which[v]]) for u, v in rings]
+        self.a, self.b = np.concatenate([a, *(u for u, _ in same)]), np.concatenate([b, *(v for _, v in same)])
+        more = np.full(len(self.a) - len(w), 2.0)
+        self.w, self.c = np.r_[w, more], np.r_[c, more]
+
+
+_OUT = "kind byte, k long, com long, b long, w double, c double"
 
 
 def similarity_clusters(df: DataFrame, key: str, width: int, also: str, typical: bool = False, resolution: float = RESOLUTION, seed: int = 0) -> DataFrame:
@@ -131,122 +211,185 @@ def similarity_clusters(df: DataFrame, key: str, width: int, also: str, typical:
     a column ``also``.  Clusters are numbered from 0 by falling size, ties by the
     least number of a member community; rows of clusters of ``LEAST`` members or
     fewer have -1.  ``degree`` is the row's internal weighted degree: the weights
-    of its links to rows of its own cluster, in both dealings.  Missing values
-    are filled from the nearest centre of the sample.  Exact copies are ordinary
-    rows; a block of copies is dealt by hash.  An empty table gives an empty result.
+    of its links to rows of its own cluster.  Missing values are filled from the
+    nearest centre.  Exact copies are always of one cluster.  An empty table
+    gives an empty result.
     """
-    spark = df.sparkSession
     kind = dict(df.dtypes)[also]
     n = df.count()
     x = sample(df, key, width, SAMPLE, n)
     whole = x[~np.isnan(x).any(axis=1)]
     centres = kmeans(whole if len(whole) else np.zeros((1, width), np.float32), 64, 8, np.random.default_rng(seed))
-    x = filled(x, centres)
-    depth = int(np.ceil(np.log2(max(n, 1) / BLOCK))) if n > BLOCK else 0
-    depth = min(depth, int(np.log2(max(len(x), 32) / 32)))
-    trees = Tree(x, depth, n, seed + 1), Tree(x, depth, n, seed + 2)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = Cells(filled(x, centres), n, seed + 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             v = filled(unpacked(t["v"], width), centres)
-            yield pa.RecordBatch.from_arrays([pa.array(trees[0].dealt(v, t[key].to_numpy())), t[key], packed(v), t[also]], ["block", "k", "v", "also"])
+            row, cell, home, hot = cells.dealt(v, t[key].to_numpy())
+            at = pa.array(row)
+            name = t[also].take(pa.array(row, mask=~home))  # goes with the row's own cell only
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home), t[key].take(at), packed(v[row]), name, pa.array(hot)], ["cell", "home", "k", "v", "also", "hot"])
 
+    names = ["kind", "k", "com", "b", "w", "c", "also", *(["inner", "oc", "ow"] if typical else [])]
     more = ", inner double, oc array<long>, ow array<double>" if typical else ""
+    copies = len(cells.centres)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _blocks(batches, "block"):
+    def in_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _cells(batches):
+            cell = t["cell"][0].as_py()
             t = t.sort_by("k")  # the same graph whatever the order of arrival
-            v = unpacked(t["v"], width)
-            a, b, w = _graph(v, descent.ROUNDS)
-            own = communities(len(v), a, b, w, resolution, seed=seed)
-            # unique over the table: block and salt, part of a cut block, number
-            com = (t["block"][0].as_py() >> 20 << 40) + (int(t["k"][0].as_py() * 2654435761 % (1 << 24)) << 16) + own
-            fields = [pa.array(np.zeros(len(v), np.int8)), t["k"].combine_chunks(), t["v"].combine_chunks(), t["also"].combine_chunks(), pa.array(com), pa.array(trees[1].dealt(v, t["k"].to_numpy())), pa.nulls(len(v), pa.float64())]
-            names = ["kind", "k", "v", "also", "com", "block", "w"]
-            if typical:
-                fields += _degrees(len(v), a, b, w, com)
-                names += ["inner", "oc", "ow"]
-            yield pa.RecordBatch.from_arrays(fields, names)
-            lo, hi, s = _sums(com[a], com[b], w)
-            links = [pa.array(np.ones(len(lo), np.int8)), pa.array(lo), pa.nulls(len(lo), pa.binary()), pa.nulls(len(lo), fields[3].type), pa.array(hi), pa.nulls(len(lo), pa.int64()), pa.array(s)]
-            yield pa.RecordBatch.from_arrays([*links, *(pa.nulls(len(lo), f.type) for f in fields[7:])], names)
-
-    dealt = df.select(key, "v", also).mapInArrow(deal, f"block long, k long, v binary, also {kind}")
-    dealt = dealt.repartition(parts, "block").sortWithinPartitions("block")
-    local = written(dealt.mapInArrow(first, f"kind byte, k long, v binary, also {kind}, com long, block long, w double{more}"), "local")
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _blocks(batches, "block"):
-            t = t.sort_by("k")
-            com = t["com"].to_numpy()
-            a, b, w = _graph(unpacked(t["v"], width), max(1, descent.ROUNDS - 1))
-            lo, hi, s = _sums(com[a], com[b], w)
-            if not typical:
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(s)], ["a", "b", "w"])
+            keys, home, hot = t["k"].to_numpy(), t["home"].to_numpy(), t["hot"].to_numpy()
+            text = t["also"].combine_chunks().type
+            longs, doubles = pa.array([], pa.list_(pa.int64())).type, pa.array([], pa.list_(pa.float64())).type
+
+            def batch(mark: int, k, com, b, w, c, name=None, extra=()) -> pa.RecordBatch:
+                m = len(com)
+                columns = [pa.array(np.full(m, mark, np.int8)), pa.nulls(m, pa.int64()) if k is None else pa.array(k), pa.array(com), pa.nulls(m, pa.int64()) if b is None else pa.array(b), pa.nulls(m, pa.float64()) if w is None else pa.array(w), pa.nulls(m, pa.float64()) if c is None else pa.array(c)]
+                columns.append(pa.nulls(m, text) if name is None else name)
+                if typical:
+                    columns += list(extra) or [pa.nulls(m, pa.float64()), pa.nulls(m, longs), pa.nulls(m, doubles)]
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            if cell >= copies:  # copies of a hot vector: linked with one another, like those that stand for it
+                com = _COPY + hot
+                none = pa.array([[]] * len(com), longs), pa.array([[]] * len(com), doubles)
+                yield batch(0, keys, com, None, None, None, t["also"].combine_chunks(), (pa.array(np.full(len(com), 2.0 * descent.LINKS)), *none))
                 continue
-            inner, oc, ow = _degrees(len(com), a, b, w, com)
-            none = len(lo)
-            names = ["a", "b", "w", "k", "inner", "oc", "ow"]
-            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi), pa.array(s), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float64()), pa.nulls(none, oc.type), pa.nulls(none, ow.type)], names)
-            none = len(com)
-            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float64()), t["k"].combine_chunks(), inner, oc, ow], names)
+            g = _Graph(unpacked(t["v"], width), home, resolution, seed)
+            com = (cell << 32) + g.com
+            own = pa.array(home)
+            inner, oc, ow = _degrees(len(com), g.a, g.b, g.w, com)
+            yield batch(0, keys[home], com[home], None, None, None, t["also"].combine_chunks().filter(own), (pa.array(inner[home]), oc.filter(own), ow.filter(own)))
+            lo, hi = com[g.a], com[g.b]
+            a, b, w, c = _sums(np.minimum(lo, hi), np.maximum(lo, hi), g.w, g.c)
+            yield batch(1, None, a, b, w, c)
+            src, dst, w = g.far
+            if typical:
+                yield batch(2, keys[dst], com[src], keys[src], w, np.ones(len(w)))
+            else:
+                a, v, w, c = _sums(com[src], keys[dst], w, np.ones(len(w)))
+                yield batch(2, v, a, None, w, c)
+            stand = np.flatnonzero(home & (hot >= 0))
+            _, at = np.unique(hot[stand], return_index=True)
+            yield batch(3, None, com[stand[at]], _COPY + hot[stand[at]], None, None)
+
+    dealt = df.select(key, "v", also).mapInArrow(deal, f"cell int, home boolean, k long, v binary, also {kind}, hot long")
+    dealt = dealt.repartitionById(cells.count(), F.col("cell")).sortWithinPartitions("cell")
+    local = written(dealt.mapInArrow(in_cell, f"{_OUT}, also {kind}{more}"), "local")
 
     rows = local.where("kind = 0")
-    again = rows.select("block", "k", "v", "com").repartition(parts, "block").sortWithinPartitions("block")
-    again = again.mapInArrow(second, "a long, b long, w double" + (", k long" + more if typical else ""))
-    if typical:
-        again = written(again, "again")
-    links = again.where("a is not null").select("a", "b", "w") if typical else again
-    links = links.unionByName(local.where("kind = 1").select(F.col("k").alias("a"), F.col("com").alias("b"), "w"))
-    links = written(links.groupBy("a", "b").agg(F.sum("w").alias("w")), "links")
+    if any(s > 1 for _, s in cells.hot.values()):
+        stands = local.where("kind = 3").groupBy(F.col("b").alias("com")).agg(F.min("com").alias("__real"))  # at most SAMPLE / HOT rows
+        rows = rows.join(F.broadcast(stands), "com", "left").withColumn("com", F.coalesce("__real", "com")).drop("__real")
+    far = local.where("kind = 2").select("k", F.col("com").alias("a"), F.col("b").alias("src"), "w", "c")
+    links = far.join(rows.select("k", F.col("com").alias("b")), "k").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", "c")
+    links = links.unionByName(local.where("kind = 1").select(F.col("com").alias("a"), "b", "w", "c"))
+    links = written(links.groupBy("a", "b").agg(F.sum("w").alias("w"), F.sum("c").alias("c")), "links")
     final = _last_levels(rows, links, resolution, seed)  # com, cluster
-    out = rows.join(final, "com", "left").select(F.col("k").alias(key), F.col("also").alias(also), F.coalesce("cluster", F.lit(-1)).alias("cluster"), "com", *(["inner", "oc", "ow"] if typical else []))
+    out = rows.join(final, "com", "left").select(F.col("k").alias(key), F.col("also").alias(also), F.coalesce("cluster", F.lit(-1)).alias("cluster"), *(["inner", "oc", "ow"] if typical else []))
     if not typical:
-        return out.drop("com")
-    mine = out.select(F.col(key).alias("k"), "cluster", "inner", "oc", "ow").unionByName(again.where("k is not null").select("k", "inner", "oc", "ow").join(out.select(F.col(key).alias("k"), "cluster"), "k").select("k", "cluster", "inner", "oc", "ow"))
-    other = mine.select("k", "cluster", F.explode(F.arrays_zip("oc", "ow")).alias("z")).select("k", "cluster", F.col("z.oc").alias("com"), F.col("z.ow").alias("w"))
-    other = other.join(final.withColumnRenamed("cluster", "c2"), "com").where("cluster = c2").select("k", "w")
-    degree = mine.select("k", F.col("inner").alias("w")).unionByName(other).groupBy("k").agg(F.sum("w").alias("degree"))
+        return out
+    mine = out.select(F.col(key).alias("k"), "cluster", "inner", "oc", "ow")
+    near = mine.select("k", "cluster", F.explode(F.arrays_zip("oc", "ow")).alias("z")).select("k", "cluster", F.col("z.oc").alias("com"), F.col("z.ow").alias("w"))
+    near = near.join(final.withColumnRenamed("cluster", "c2"), "com").where("cluster = c2").select("k", "w")
+    met = far.withColumnRenamed("a", "com").join(final.withColumnRenamed("cluster", "c2"), "com").join(mine.select("k", "cluster"), "k").where("cluster = c2")
+    met = met.select(F.explode(F.array("k", "src")).alias("k"), "w")
+    degree = mine.select("k", F.col("inner").alias("w")).unionByName(near).unionByName(met).groupBy("k").agg(F.sum("w").alias("degree"))
     return out.select(key, also, "cluster").join(degree.withColumnRenamed("k", key), key)
 
 
+def joined(a: np.ndarray, b: np.ndarray, w: np.ndarray, c: np.ndarray, com: np.ndarray, share: float = SHARE, stretch: float = STRETCH) -> np.ndarray:
+    """``com`` with communities put together while enough of the links of one of them lead to another, and short ones.
+
+    ``a``, ``b``, ``w``, ``c``: the links of the graph, their weights 1 / (1 + length)
+    and numbers.  The closest pairs first, those that are each other's closest in
+    one step.
+    """
+    names, com = np.unique(com, return_inverse=True)
+    n = len(names)
+    top = np.arange(n)
+    while True:
+        s, t = top[com[a]], top[com[b]]
+        lo, hi, sums, count = _sums(np.minimum(s, t), np.maximum(s, t), w, c)
+        length = np.maximum(count / np.maximum(sums, 1e-300) - 1, 0)
+        volume = np.bincount(lo, count, n) + np.bincount(hi, count, n)
+        out = lo != hi
+        inner = np.zeros(n)
+        inner[lo[~out]] = length[~out]
+        lo, hi, count, length = lo[out], hi[out], count[out], length[out]
+        part = count / np.maximum(np.minimum(volume[lo], volume[hi]), 1e-300)
+        near = (part >= share) & (length <= stretch * np.maximum(inner[lo], inner[hi]))
+        lo, hi, part = lo[near], hi[near], part[near]
+        if not len(lo):
+            return top[com]
+        order = np.lexsort((hi, lo, -part))
+        best = np.full(n, len(order))
+        for ends in (lo, hi):
+            np.minimum.at(best, ends[order], np.arange(len(order)))
+        i = order[np.unique(best[best < len(order)])]
+        rank = np.empty(len(lo), np.int64)
+        rank[order] = np.arange(len(order))
+        i = i[(best[lo[i]] == rank[i]) & (best[hi[i]] == rank[i])]  # each other's closest
+        move = np.arange(n)
+        move[hi[i]] = lo[i]
+        top = move[top]
+
+
 def _last_levels(rows: DataFrame, links: DataFrame, resolution: float, seed: int) -> DataFrame:
     """``com``, ``cluster``: the contracted graph brought to clusters, numbered by size."""
     spark = rows.sparkSession
-    sizes = rows.groupBy("com").agg(F.count(F.lit(1)).alias("n"))
-    names = written(sizes.withColumn("top", F.col("com")), "names")  # com -> node of the contracted graph
-    shift = 44
-    while links.count() > LINKS_ON_DRIVER and shift < 63:
-        links, names = _contracted(links, names, shift, resolution, seed)
-        shift += 4
-    got = links.toPandas()  # bounded by LINKS_ON_DRIVER
-    top = names.groupBy("top").agg(F.sum("n").alias("n")).toPandas().sort_values("top")
-    ids = top["top"].to_numpy()
-    a, b, w = np.searchsorted(ids, got["a"].to_numpy()), np.searchsorted(ids, got["b"].to_numpy()), got["w"].to_numpy(dtype=float)
-    order = np.lexsort((b, a))
-    a, b, w = a[order], b[order], w[order]
-    best = max((communities(len(ids), a, b, w, resolution, 12, seed + s) for s in range(3)), key=lambda c: modularity(a, b, w, c, resolution)) if len(got) else np.arange(len(ids))
-    number = relabel_by_size(best, top["n"].to_numpy(), LEAST)
-    made = spark.createDataFrame(pd.DataFrame({"top": ids, "cluster": number.astype(np.int32)}), "top long, cluster int") if len(ids) else spark.createDataFrame([], "top long, cluster int")
-    return broadcast_if_small(written(names.join(made, "top").select("com", "cluster"), "clusters"))
-
-
-def _contracted(links: DataFrame, names: DataFrame, shift: int, resolution: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """One more level of moves, side by side in groups of neighbouring blocks."""
-
-    def move(t: pa.Table) -> pa.Table:
-        a, b, w = (t[c].to_numpy() for c in ("a", "b", "w"))
-        ids, at = np.unique(np.r_[a, b], return_inverse=True)
-        com = communities(len(ids), at[: len(a)], at[len(a) :], w.astype(float), resolution, seed=seed)
-        first = np.full(com.max() + 1, len(ids))
-        np.minimum.at(first, com, np.arange(len(ids)))
-        return pa.table({"old": ids, "new": ids[first[com]]})
-
-    near = links.where(F.shiftright("a", shift) == F.shiftright("b", shift)).withColumn("g", F.shiftright("a", shift))
-    moved = written(near.groupBy("g").applyInArrow(move, "old long, new long"), "moved")
-    for c in ("a", "b"):
-        links = links.join(moved.select(F.col("old").alias(c), F.col("new").alias("__new")), c, "left").withColumn(c, F.coalesce("__new", c)).drop("__new")
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    names = names.join(moved.select(F.col("old").alias("top"), F.col("new").alias("__new")), "top", "left").withColumn("top", F.coalesce("__new", "top")).drop("__new")
-    return written(links, "links"), written(names, "names")
+    names = written(rows.groupBy("com").agg(F.count(F.lit(1)).alias("n")).withColumn("top", F.col("com")), "names")  # com -> node of the contracted graph
+    graph, merged = links, True
+    while merged and graph.count() > LINKS_ON_DRIVER:
+        graph, step, merged = contracted(graph.select("a", "b", "w"), resolution)
+        names = written(names.join(step.select(F.col("old").alias("top"), "new"), "top", "left").select("com", "n", F.coalesce("new", "top").alias("top")), "names")
+    if graph is not links:  # with the numbers of links
+        links = _renamed(links, names.select(F.col("com").alias("old"), F.col("top").alias("new")))
+    if graph.count() > LINKS_ON_DRIVER:  # nothing is left to move, so that only the joining remains
+        names = _joined_by_joins(links, names)
+    else:
+        got = links.orderBy("a", "b").toPandas()
+        ids, at = np.unique(np.r_[got["a"].to_numpy(np.int64), got["b"].to_numpy(np.int64)], return_inverse=True)
+        a, b, w, c = at[: len(got)], at[len(got) :], got["w"].to_numpy(float), got["c"].to_numpy(float)
+        best = max((communities(len(ids), a, b, w, resolution, 12, seed + s) for s in range(3)), key=lambda com: modularity(a, b, w, com, resolution))
+        best = joined(a, b, w, c, best)
+        first = np.full(best.max(initial=-1) + 1, len(ids))
+        np.minimum.at(first, best, np.arange(len(ids)))
+        if len(ids):
+            moved = spark.createDataFrame(pd.DataFrame({"top": ids, "new": ids[first[best]]}), "top long, new long")  # at most two for each link
+            names = names.join(moved, "top", "left").select("com", "n", F.coalesce("new", "top").alias("top"))
+    names = written(names, "names")
+    large = names.groupBy("top").agg(F.sum("n").alias("size")).where(F.col("size") > LEAST)
+    large = numbered(large, [F.desc("size"), "top"], "cluster").select("top", F.col("cluster").cast("int").alias("cluster"))
+    return broadcast_if_small(written(names.join(large, "top").select("com", "cluster"), "clusters"))
+
+
+def _renamed(links: DataFrame, names: DataFrame) -> DataFrame:
+    """Links between ``new`` nodes: ``names`` has ``old``, ``new`` for every node."""
+    for end in ("a", "b"):
+        links = links.join(names.select(F.col("old").alias(end), "new"), end).withColumn(end, F.col("new")).drop("new")
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w", "c")
+    return written(links.groupBy("a", "b").agg(F.sum("w").alias("w"), F.sum("c").alias("c")), "links")
+
+
+def _joined_by_joins(links: DataFrame, names: DataFrame) -> DataFrame:
+    """``joined`` on a graph of any size, whose nodes are the communities: ``names`` with new ``top``."""
+    while True:
+        ends = links.select(F.col("a").alias("node"), "c").unionByName(links.select(F.col("b").alias("node"), "c"))
+        length = F.greatest(F.col("c") / F.greatest("w", F.lit(1e-300)) - 1, F.lit(0.0))
+        inner = links.where("a = b").select(F.col("a").alias("node"), length.alias("inner"))
+        nodes = ends.groupBy("node").agg(F.sum("c").alias("volume")).join(inner, "node", "left").fillna(0.0, ["inner"])
+        near = links.where("a <> b").withColumn("length", length)
+        for end in ("a", "b"):
+            near = near.join(nodes.select(F.col("node").alias(end), F.col("volume").alias(f"v{end}"), F.col("inner").alias(f"i{end}")), end)
+        near = near.withColumn("part", F.col("c") / F.least("va", "vb")).where((F.col("part") >= SHARE) & (F.col("length") <= STRETCH * F.greatest("ia", "ib"))).select("a", "b", "part")
+        near = written(near, "near")
+        order = F.struct(-F.col("part"), "a", "b")
+        best = near.select(F.col("a").alias("node"), "a", "b", "part").unionByName(near.select(F.col("b").alias("node"), "a", "b", "part")).groupBy("node").agg(F.min_by(F.struct("a", "b"), order).alias("e"))
+        both = best.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2")  # each other's closest
+        moved = written(both.select(F.col("e.b").alias("old"), F.col("e.a").alias("new")), "moved")
+        if not moved.take(1):
+            return names
+        nodes = nodes.select(F.col("node").alias("old")).join(moved, "old", "left").select("old", F.coalesce("new", "old").alias("new"))
+        links = _renamed(links, nodes)
+        names = written(names.join(moved.select(F.col("old").alias("top"), "new"), "top", "left").select("com", "n", F.coalesce("new", "top").alias("top")), "names")

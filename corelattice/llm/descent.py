@@ -1,108 +1,152 @@
-"""Neighbour descent on one block of vectors, in plain arrays."""
+"""Neighbour descent on one cell of vectors, in plain arrays.
+
+Random-projection trees give the first lists: within a leaf all rows are
+compared.  Then, round by round, the neighbours of a row and the rows that have
+it as a neighbour are compared with one another, if one of the two came in
+since the last round; whatever is nearer than the farthest kept neighbour comes
+in.  Memory grows with the rows of the cell only.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-LINKS = 8  # neighbours kept for a vector
+LINKS = 8  # neighbours given for a row
+KEPT = 12  # neighbours kept while descending
 ROUNDS = 3
-LEAF = 32
+TREES = 8
+LEAF = 1024
+STOP = 0.02  # the descent ends when a smaller share of the lists changes
+_PAIRS = 1 << 21  # pairs compared at a time
+_HITS = 1 << 22  # candidates held at a time
+
+
+class _Lists:
+    """The neighbours of each row, nearest first, with their squared distances and whether they are new."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.idx = np.full((n, k), -1, np.int32)
+        self.dist = np.full((n, k), np.inf, np.float32)
+        self.new = np.ones((n, k), bool)
 
+    def take_in(self, u: np.ndarray, v: np.ndarray, d: np.ndarray) -> int:
+        """Candidates ``v`` of rows ``u`` at distances ``d``; how many came in."""
+        n, k = self.idx.shape
+        fresh = ~(self.idx[u] == v[:, None]).any(axis=1)
+        code, at = np.unique(u[fresh].astype(np.int64) * n + v[fresh], return_index=True)
+        if not len(code):
+            return 0
+        u, v, d = code // n, (code % n).astype(np.int32), d[fresh][at]
+        by = np.lexsort((v, d, u))
+        u, v, d = u[by], v[by], d[by]
+        first = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+        run = np.diff(np.r_[first, len(u)])
+        rank = np.arange(len(u)) - np.repeat(first, run)
+        kept = rank < k
+        line = np.repeat(np.arange(len(first)), run)[kept]
+        ids, ds = np.full((len(first), k), -1, np.int32), np.full((len(first), k), np.inf, np.float32)
+        ids[line, rank[kept]], ds[line, rank[kept]] = v[kept], d[kept]
+        rows = u[first]
+        ids, ds = np.concatenate([self.idx[rows], ids], axis=1), np.concatenate([self.dist[rows], ds], axis=1)
+        new = np.concatenate([self.new[rows], np.ones((len(rows), k), bool)], axis=1)
+        order = np.argsort(ds, axis=1, kind="stable")[:, :k]
+        self.idx[rows], self.dist[rows], self.new[rows] = (np.take_along_axis(m, order, 1) for m in (ids, ds, new))
+        return int((order >= k).sum() - (~np.isfinite(self.dist[rows])).sum())
 
-def descend(x: np.ndarray, links: int = LINKS, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Approximate neighbours of each row within the block: numbers and squared distances.
 
-    Starts from the exact neighbours within the leaves of a random-projection
-    tree, then looks at neighbours of neighbours and at rows of which a row is a
-    neighbour, round by round.  Fewer rows than ``links`` + 1 give fewer columns.
+def descend(x: np.ndarray, links: int = LINKS, rounds: int = ROUNDS, trees: int = TREES, leaf: int = LEAF, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Approximate neighbours of each row, nearest first: numbers (-1: none) and squared distances.
+
+    Fewer rows than ``links`` + 1 give fewer columns.  Up to ``leaf`` rows all
+    are compared, so that the lists are exact.
     """
     n = len(x)
-    k = min(links, n - 1)
-    if k <= 0:
+    if n < 2:
         return np.empty((n, 0), np.int32), np.empty((n, 0), np.float32)
-    rng = np.random.default_rng(seed)
+    k = min(max(links, KEPT), n - 1)
     x = np.ascontiguousarray(x, np.float32)
     sq = np.einsum("ij,ij->i", x, x)
-    if n <= 4 * LEAF:  # small enough to compare all
-        d = np.maximum(sq[:, None] + sq - 2 * x @ x.T, 0)
-        np.fill_diagonal(d, np.inf)
-        at = np.argpartition(d, k - 1, axis=1)[:, :k]
-        return at.astype(np.int32), np.take_along_axis(d, at, 1)
-    idx, dist = _leaf_lists(x, sq, k, rng)
-    idx, dist = _merged(idx, dist, *_leaf_lists(x, sq, k, rng), k)  # a second tree joins the leaves of the first
-    here = np.arange(n, dtype=np.int32)[:, None]
-    for _ in range(rounds):
-        src = np.repeat(here[:, 0], k)
-        dst = idx.reshape(-1)
-        by = np.argsort(dst, kind="stable")
-        to, back_from = dst[by], src[by]
-        first = np.searchsorted(to, here[:, 0])
-        last = np.searchsorted(to, here[:, 0], "right")
-        back = np.where(first[:, None] + np.arange(k // 2) < last[:, None], back_from[np.minimum(first[:, None] + np.arange(k // 2), len(by) - 1)], here)
-        mid = np.concatenate([np.where(idx < 0, here, idx), back], axis=1)
-        far = idx[mid][:, :, rng.permutation(k)[: max(2, k // 2)]].reshape(n, -1)
-        cand = np.concatenate([back, np.where(far < 0, here, far)], axis=1)
-        cd = sq[:, None] + sq[cand] - 2 * np.einsum("ijk,ik->ij", x[cand], x)
-        cd[cand == here] = np.inf
-        idx, dist = _merged(idx, dist, cand, np.maximum(cd, 0), k)
-    return idx, dist
-
-
-def _leaf_lists(x: np.ndarray, sq: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest of each row within its leaf of a random-projection tree."""
+    rng = np.random.default_rng(seed)
+    lists = _Lists(n, k)
+    for tree in range(trees if n > leaf else 1):
+        _within_leaves(lists, x, sq, _leaves(x, leaf, rng), tree == 0)
+    for _ in range(rounds if n > leaf else 0):
+        if _local_joins(lists, x, sq) < STOP * n * k:
+            break
+    return lists.idx[:, :links], np.maximum(lists.dist[:, :links], 0)
+
+
+def _leaves(x: np.ndarray, leaf: int, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of the rows of each leaf of a random-projection tree; the leaves are of one length and may overlap by a row."""
     n = len(x)
-    leaves = 1 << int(np.ceil(np.log2(n / LEAF)))
-    wide = -(-n // leaves)
-    order = np.argsort(x @ _turn(x, rng))
-    seg = 1
-    place = np.empty(n, np.int64)
-    while seg < leaves:  # each segment is cut in two by a new direction
-        place[order] = np.arange(n) * seg // n
-        order = np.lexsort((x @ _turn(x, rng), place))
+    parts = 1 << int(np.ceil(np.log2(max(n / leaf, 1))))
+    order, place, seg = np.arange(n), np.empty(n, np.int64), 1
+    while seg < parts:  # each segment is cut at its median along the line through two of its rows
+        at = np.arange(n) * seg // n
+        place[order] = at
+        first = np.searchsorted(at, np.arange(seg))
+        size = np.diff(np.r_[first, n])
+        a, b = (order[first + (rng.random(seg) * size).astype(np.int64)] for _ in range(2))
+        turn = x[a] - x[b]
+        flat = ~turn.any(axis=1)
+        turn[flat] = rng.standard_normal((int(flat.sum()), x.shape[1])).astype(np.float32)
+        order = np.lexsort((np.einsum("ij,ij->i", x, turn[place]), place))
         seg *= 2
-    # leaves as rows of equal length; the last ones overlap the ones before
-    begin = np.minimum(np.arange(leaves) * n // leaves, n - wide)
-    rows = order[begin[:, None] + np.arange(wide)]
-    own = x[rows]
-    d = sq[rows][:, :, None] + sq[rows][:, None, :] - 2 * own @ own.transpose(0, 2, 1)
-    d[:, np.arange(wide), np.arange(wide)] = np.inf
-    m = min(k, wide - 1)
-    at = np.argpartition(d, m - 1, axis=2)[:, :, :m]
-    idx = np.full((n, k), -1, np.int32)
-    dist = np.full((n, k), np.inf, np.float32)
-    idx[rows.reshape(-1), :m] = np.take_along_axis(np.broadcast_to(rows[:, None, :], d.shape), at, 2).reshape(-1, m)
-    dist[rows.reshape(-1), :m] = np.maximum(np.take_along_axis(d, at, 2).reshape(-1, m), 0)
-    return idx, dist
-
-
-def _merged(idx: np.ndarray, dist: np.ndarray, cand: np.ndarray, cd: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` nearest of kept and candidate neighbours, each once."""
-    # only what beats the farthest kept one can come in
-    cd = np.where(cd >= dist.max(axis=1)[:, None], np.inf, cd)
-    cap = min(2 * k, cd.shape[1])
-    few = np.argpartition(cd, cap - 1, axis=1)[:, :cap]
-    ids = np.concatenate([idx, np.take_along_axis(cand, few, 1)], axis=1)
-    ds = np.concatenate([dist, np.take_along_axis(cd, few, 1)], axis=1)
-    by_id = np.argsort(ids, axis=1)
-    ids, ds = np.take_along_axis(ids, by_id, 1), np.take_along_axis(ds, by_id, 1)
-    ds[:, 1:][ids[:, 1:] == ids[:, :-1]] = np.inf
-    at = np.argpartition(ds, k - 1, axis=1)[:, :k]
-    idx, dist = np.take_along_axis(ids, at, 1).astype(np.int32), np.take_along_axis(ds, at, 1)
-    return np.where(np.isfinite(dist), idx, -1), dist
-
-
-def _turn(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    a, b = x[rng.integers(len(x), size=2)]
-    r = a - b
-    return r if (r != 0).any() else rng.standard_normal(x.shape[1]).astype(np.float32)
-
-
-def links_of(idx: np.ndarray, dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Undirected links a < b with weight 1 / (1 + distance), once each."""
-    n, k = idx.shape
-    a = np.repeat(np.arange(n), k)
-    b, d = idx.reshape(-1).astype(np.int64), dist.reshape(-1)
-    good = b >= 0
-    a, b, d = a[good], b[good], d[good]
-    code, at = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_index=True)
-    return code // n, code % n, (1 / (1 + np.sqrt(d[at]))).astype(np.float64)
+    wide = -(-n // parts)
+    begin = np.minimum(np.arange(parts) * n // parts, n - wide)
+    return order[begin[:, None] + np.arange(wide)]
+
+
+def _within_leaves(lists: _Lists, x: np.ndarray, sq: np.ndarray, leaves: np.ndarray, first: bool) -> None:
+    wide = leaves.shape[1]
+    m = min(lists.idx.shape[1], wide - 1)
+    own = np.arange(wide)
+    for s in range(0, len(leaves), max(1, _PAIRS // (wide * wide))):
+        rows = leaves[s : s + max(1, _PAIRS // (wide * wide))]
+        v = x[rows]
+        d = sq[rows][:, :, None] + sq[rows][:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
+        d[:, own, own] = np.inf
+        if first:
+            at = np.argpartition(d, m - 1, axis=2)[:, :, :m]
+            ds = np.take_along_axis(d, at, 2).reshape(-1, m)
+            ids = np.take_along_axis(np.broadcast_to(rows[:, None, :], d.shape), at, 2).reshape(-1, m)
+            order, flat = np.argsort(ds, axis=1, kind="stable"), rows.reshape(-1)
+            lists.idx[flat, :m], lists.dist[flat, :m] = np.take_along_axis(ids, order, 1), np.take_along_axis(ds, order, 1)
+            continue
+        hit = np.flatnonzero(d < lists.dist[rows, -1][:, :, None])
+        of, b = hit // (wide * wide), hit % wide
+        lists.take_in(rows[of, hit // wide % wide], rows[of, b].astype(np.int32), d.reshape(-1)[hit])
+
+
+def _local_joins(lists: _Lists, x: np.ndarray, sq: np.ndarray) -> int:
+    """One round: the neighbours of each row, in both directions, are compared with one another."""
+    n, k = lists.idx.shape
+    here = np.arange(n, dtype=np.int32)
+    there = lists.idx.reshape(-1) >= 0
+    to, source, d, fresh = lists.idx.reshape(-1)[there], np.repeat(here, k)[there], lists.dist.reshape(-1)[there], lists.new.reshape(-1)[there]
+    by = np.lexsort((source, d, to))
+    to, source, fresh = to[by], source[by], fresh[by]
+    at = np.searchsorted(to, here)[:, None] + np.arange(k)  # the nearest of those that have the row
+    back = at < np.searchsorted(to, here, "right")[:, None]
+    at = np.minimum(at, max(len(to) - 1, 0))
+    members = np.concatenate([lists.idx, np.where(back, source[at], -1)], axis=1)
+    new = np.concatenate([lists.new, fresh[at]], axis=1) & (members >= 0)
+    lists.new[:] = False
+    m, came = members.shape[1], 0
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    live = np.flatnonzero(new.any(axis=1))
+    step = max(1, _PAIRS // (m * m))
+    for a in range(0, len(live), step):
+        rows, recent = members[live[a : a + step]], new[live[a : a + step]]
+        v, s = x[rows], sq[rows]
+        dist = s[:, :, None] + s[:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
+        far = np.where(rows < 0, -1, lists.dist[rows, -1])
+        hit = np.flatnonzero((dist < far[:, :, None]) & (recent[:, :, None] | recent[:, None, :]))
+        of = hit // (m * m)
+        u, w = rows[of, hit // m % m], rows[of, hit % m]
+        good = (u != w) & (w >= 0)
+        hits.append((u[good], w[good], np.maximum(dist.reshape(-1)[hit[good]], 0)))
+        if sum(len(h[0]) for h in hits) > _HITS or a + step >= len(live):
+            came += lists.take_in(*(np.concatenate(c) for c in zip(*hits)))
+            hits = []
+    return came

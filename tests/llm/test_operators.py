@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,22 +230,38 @@ def test_the_nearest_in_a_dense_leaf_are_exact(spread, limit):
 # clusters -------------------------------------------------------------------
 
 
-def test_descent_finds_most_neighbours():
+@pytest.mark.parametrize("n, leaf", [(6000, 256), (900, 1024)])
+def test_descent_finds_most_neighbours(n, leaf):
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(3000, 6)).astype(np.float32)
-    idx, dist = descent.descend(x, rounds=8)
+    x = rng.normal(size=(n, 8)).astype(np.float32)
+    idx, dist = descent.descend(x, leaf=leaf)
     d = ((x[:200, None] - x[None]) ** 2).sum(-1)
     d[np.arange(200), np.arange(200)] = np.inf
     true = np.argsort(d, axis=1)[:, : descent.LINKS]
-    assert np.mean([len(set(a) & set(b)) / descent.LINKS for a, b in zip(idx[:200], true)]) > 0.85
-    assert descent.descend(x[:1])[0].shape == (1, 0)
+    recall = np.mean([len(set(a) & set(b)) / descent.LINKS for a, b in zip(idx[:200], true)])
+    assert recall > 0.93 and (n > leaf or recall == 1)
+    assert (np.diff(dist, axis=1) >= 0).all() and np.allclose(dist[:200], np.take_along_axis(d, idx[:200].astype(int), 1), atol=1e-4)
+    assert descent.descend(x[:1])[0].shape == (1, 0) and descent.descend(x[:0])[0].shape == (0, 0)
     same = descent.descend(np.zeros((500, 3), np.float32))
     assert same[0].shape == (500, descent.LINKS)
 
 
-@pytest.mark.parametrize("block", [8192, 300])
-def test_clusters_are_the_natural_groups(spark, monkeypatch, block):
-    monkeypatch.setattr(communities, "BLOCK", block)
+def test_rows_find_their_neighbours_across_cells():
+    x = np.random.default_rng(11).normal(size=(20_000, 6)).astype(np.float32)
+    cells = communities.Cells(x, len(x), 0)
+    row, cell, home, hot = cells.dealt(x, np.arange(len(x)))
+    assert len(cells.centres) > 1 and (np.bincount(row[home], minlength=len(x)) == 1).all() and (hot == -1).all() and len(row) < 4 * len(x)
+    own = np.empty(len(x), int)
+    own[row[home]] = cell[home]
+    there = set(zip(row.tolist(), cell.tolist()))
+    d = ((x[:300, None] - x[None]) ** 2).sum(-1)
+    near = np.argsort(d, axis=1)[:, 1:9]
+    assert np.mean([(j, own[i]) in there for i in range(300) for j in near[i]]) > 0.9
+
+
+@pytest.mark.parametrize("cell", [65_536, 300])
+def test_clusters_are_the_natural_groups(spark, monkeypatch, cell):
+    monkeypatch.setattr(communities, "CELL", cell)
     rng = np.random.default_rng(9)
     centres = np.array([[0, 0, 0, 0], [6, 0, 0, 0], [0, 6, 0, 0], [0, 0, 6, 6]]) + 5
     label = rng.choice(4, 2400, p=[0.5, 0.3, 0.15, 0.05])
@@ -262,22 +279,52 @@ def test_clusters_are_the_natural_groups(spark, monkeypatch, block):
     assert np.nanmean(near[got.degree.to_numpy().argsort()[-100:]]) < np.nanmean(near)
 
 
+def test_a_small_group_beside_large_ones_stays_apart(spark):
+    rng = np.random.default_rng(12)
+    label = rng.choice(3, 6000, p=[0.7, 0.29, 0.01])
+    m = np.array([[0, 0, 0, 0], [3, 0, 0, 0], [0, 3, 0, 0]])[label] + 5 + rng.normal(scale=0.3, size=(6000, 4))
+    m[:40] = np.linspace([5, 5.9, 5, 5], [5, 7.1, 5, 5], 40)  # rows between the first and the small group
+    got = communities.similarity_clusters(_profiles(spark, m), "cell_key", 4, "also").toPandas().set_index("cell_key").loc[range(6000)]
+    ours = got.cluster.to_numpy()
+    names = [pd.Series(ours[40:][label[40:] == i]).mode()[0] for i in range(3)]
+    assert len(set(names)) == 3 and (ours[40:] == np.array(names)[label[40:]]).mean() > 0.99
+
+
 def test_large_contracted_graphs_shrink_in_parallel(spark, monkeypatch):
-    monkeypatch.setattr(communities, "BLOCK", 100)
+    monkeypatch.setattr(communities, "CELL", 100)
     monkeypatch.setattr(communities, "LINKS_ON_DRIVER", 20)
     rng = np.random.default_rng(10)
     label = np.arange(1500) % 3
     m = np.array([[0, 0, 0], [8, 0, 0], [0, 8, 0]])[label] + 5 + rng.normal(scale=0.3, size=(1500, 3))
     got = communities.similarity_clusters(_profiles(spark, m), "cell_key", 3, "also").toPandas().set_index("cell_key").loc[range(1500)]
-    # blocks as small as these may leave a group in two parts, but never mix groups
+    # cells as small as these may leave a group in parts, but never mix groups
     kept = got[got.cluster >= 0]
-    assert len(kept) > 0.97 * len(got) and kept.groupby("cluster").apply(lambda c: len(set(c.index % 3))).max() == 1 and kept.cluster.nunique() <= 8
+    assert len(kept) > 0.97 * len(got) and all(len(set(c.index % 3)) == 1 for _, c in kept.groupby("cluster")) and kept.cluster.nunique() <= 8
 
 
-def test_clusters_of_copies_and_of_nothing(spark):
+def test_clusters_of_copies_and_of_nothing(spark, monkeypatch):
     base = _profiles(spark, np.full((60, 3), 2.0))
-    assert communities.similarity_clusters(base, "cell_key", 3, "also").count() == 60
-    assert communities.similarity_clusters(base.limit(0), "cell_key", 3, "also").count() == 0
+    assert {r.cluster for r in communities.similarity_clusters(base, "cell_key", 3, "also").collect()} == {0}
+    assert communities.similarity_clusters(base.limit(0), "cell_key", 3, "also", typical=True).count() == 0
+    monkeypatch.setattr(communities, "CELL", 200)
+    m = np.random.default_rng(13).normal(scale=0.2, size=(1800, 3)) + 4
+    m[900:] += 5
+    m[:600] = m[0]  # a third of all rows is one vector: dealt by hash, yet one cluster
+    got = communities.similarity_clusters(_profiles(spark, m), "cell_key", 3, "also", typical=True).toPandas().set_index("cell_key").loc[range(1800)]
+    assert len(got) == 1800 and got.cluster[:600].nunique() == 1 and got.cluster[900:].nunique() == 1
+    assert got.cluster[0] != got.cluster[900]
+
+
+def test_communities_are_joined_by_their_share_of_links():
+    ring = [(i, (i + 1) % 8, 1.0) for i in range(8)] + [(i, (i + 2) % 8, 1.0) for i in range(8)]
+    links = [(a, b, 0.5, 1) for a, b, _ in ring] + [(a + 8, b + 8, 0.5, 1) for a, b, _ in ring] + [(0, 8, 0.25, 1)]
+    a, b, w, c = (np.array(v) for v in zip(*links))
+    cut = np.arange(16) // 4  # each ring cut in two; between the rings one link, three times as long
+    got = communities.joined(a, b, w, c, cut)
+    assert len(set(got[:8])) == len(set(got[8:])) == 1 and got[0] != got[8]
+    assert communities.joined(a, b, w, c, cut, stretch=9.0).tolist() == [0] * 16
+    assert communities.joined(a, b, w, c, cut, share=1.1).tolist() == cut.tolist()
+    assert communities.joined(a[:0], b[:0], w[:0], c[:0], np.arange(3)).tolist() == [0, 1, 2]
 
 
 # abuse ----------------------------------------------------------------------
