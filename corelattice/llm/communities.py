@@ -76,9 +76,12 @@ class Cells:
         if len(c) > 1 and len(whole) > 1:
             few = rng.permutation(len(whole))[:2048]
             rank = min(max(1, round(descent.LINKS * len(x) / max(n, 1))), len(whole) - 1)  # as far as the lists reach, in a sample so much thinner
-            d = np.concatenate([_distances(whole[few[i : i + 128]], whole) for i in range(0, len(few), 128)])
-            d[np.arange(len(few)), few] = np.inf
-            near = np.argpartition(d, rank - 1, axis=1)[:, :rank].reshape(-1)
+            near = []
+            for i in range(0, len(few), 64):
+                d = _distances(whole[few[i : i + 64]], whole)
+                d[np.arange(len(d)), few[i : i + 64]] = np.inf
+                near.append(np.argpartition(d, rank - 1, axis=1)[:, :rank].reshape(-1))
+            near = np.concatenate(near)
             behind = self._behind(whole[near])[np.arange(len(near)), np.repeat(nearest(whole[few], c), rank)]
             self.strip = float(np.quantile(behind, REACHED)) + 1e-6
         self.hot = {v.tobytes(): (i, max(1, int(m / len(x) * n / CELL))) for i, (v, m) in enumerate(zip(whole[seen >= HOT], seen[seen >= HOT]))}
