@@ -80,7 +80,7 @@ class Cells:
             for i in range(0, len(few), 64):
                 d = _distances(whole[few[i : i + 64]], whole)
                 d[np.arange(len(d)), few[i : i + 64]] = np.inf
-                near.append(np.argpartition(d, rank - 1, axis=1)[:, :rank].reshape(-1))
+                near.append(np.argpartition(d, rank - 1, axis=1)[:, :rank].flatten())  # a copy, which does not hold the rest
             near = np.concatenate(near)
             behind = self._behind(whole[near])[np.arange(len(near)), np.repeat(nearest(whole[few], c), rank)]
             self.strip = float(np.quantile(behind, REACHED)) + 1e-6
