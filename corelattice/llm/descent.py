@@ -14,10 +14,11 @@ import numpy as np
 LINKS = 8  # neighbours given for a row
 KEPT = 12  # neighbours kept while descending
 ROUNDS = 3
-TREES = 8
+TREES = 7
 LEAF = 1024
+FIRST = 512  # rows of a leaf of the first tree
 STOP = 0.02  # the descent ends when a smaller share of the lists changes
-_PAIRS = 1 << 21  # pairs compared at a time
+_PAIRS = 1 << 18  # pairs compared at a time
 _HITS = 1 << 22  # candidates held at a time
 
 
@@ -66,12 +67,15 @@ def descend(x: np.ndarray, links: int = LINKS, rounds: int = ROUNDS, trees: int
     k = min(max(links, KEPT), n - 1)
     x = np.ascontiguousarray(x, np.float32)
     sq = np.einsum("ij,ij->i", x, x)
+    # one product gives a squared distance less the first row's own square
+    ends = np.concatenate([-2 * x, np.ones((n, 1), np.float32)], axis=1), np.concatenate([x, sq[:, None]], axis=1), sq
     rng = np.random.default_rng(seed)
     lists = _Lists(n, k)
     for tree in range(trees if n > leaf else 1):
-        _within_leaves(lists, x, sq, _leaves(x, leaf, rng), tree == 0)
+        # a first tree of small leaves, so that little passes in the larger ones
+        _within_leaves(lists, ends, _leaves(x, min(leaf, FIRST) if n > leaf else leaf, rng) if tree == 0 else _leaves(x, leaf, rng), tree == 0)
     for _ in range(rounds if n > leaf else 0):
-        if _local_joins(lists, x, sq) < STOP * n * k:
+        if _local_joins(lists, ends) < STOP * n * k:
             break
     return lists.idx[:, :links], np.maximum(lists.dist[:, :links], 0)
 
@@ -97,29 +101,38 @@ def _leaves(x: np.ndarray, leaf: int, rng: np.random.Generator) -> np.ndarray:
     return order[begin[:, None] + np.arange(wide)]
 
 
-def _within_leaves(lists: _Lists, x: np.ndarray, sq: np.ndarray, leaves: np.ndarray, first: bool) -> None:
+_Ends = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _within_leaves(lists: _Lists, ends: _Ends, leaves: np.ndarray, first: bool) -> None:
+    left, right, sq = ends
     wide = leaves.shape[1]
     m = min(lists.idx.shape[1], wide - 1)
-    own = np.arange(wide)
-    for s in range(0, len(leaves), max(1, _PAIRS // (wide * wide))):
-        rows = leaves[s : s + max(1, _PAIRS // (wide * wide))]
-        v = x[rows]
-        d = sq[rows][:, :, None] + sq[rows][:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
-        d[:, own, own] = np.inf
-        if first:
-            at = np.argpartition(d, m - 1, axis=2)[:, :, :m]
-            ds = np.take_along_axis(d, at, 2).reshape(-1, m)
-            ids = np.take_along_axis(np.broadcast_to(rows[:, None, :], d.shape), at, 2).reshape(-1, m)
-            order, flat = np.argsort(ds, axis=1, kind="stable"), rows.reshape(-1)
-            lists.idx[flat, :m], lists.dist[flat, :m] = np.take_along_axis(ids, order, 1), np.take_along_axis(ds, order, 1)
-            continue
-        hit = np.flatnonzero(d < lists.dist[rows, -1][:, :, None])
-        of, b = hit // (wide * wide), hit % wide
-        lists.take_in(rows[of, hit // wide % wide], rows[of, b].astype(np.int32), d.reshape(-1)[hit])
-
-
-def _local_joins(lists: _Lists, x: np.ndarray, sq: np.ndarray) -> int:
+    step = max(1, _PAIRS // wide)
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i, leaf in enumerate(leaves):
+        other = np.ascontiguousarray(right[leaf].T)
+        for a in range(0, wide, step):
+            rows = leaf[a : a + step]
+            d = left[rows] @ other
+            d[np.arange(len(rows)), a + np.arange(len(rows))] = np.inf
+            if first:
+                at = np.argpartition(d, m - 1, axis=1)[:, :m]
+                ds = np.take_along_axis(d, at, 1) + sq[rows][:, None]
+                order = np.argsort(ds, axis=1, kind="stable")
+                lists.idx[rows, :m], lists.dist[rows, :m] = leaf[np.take_along_axis(at, order, 1)], np.take_along_axis(ds, order, 1)
+                continue
+            hit = np.flatnonzero(d < (lists.dist[rows, -1] - sq[rows])[:, None])
+            u = rows[hit // wide]
+            hits.append((u, leaf[hit % wide].astype(np.int32), np.maximum(d.reshape(-1)[hit] + sq[u], 0)))
+        if hits and (sum(len(h[0]) for h in hits) > _HITS or i + 1 == len(leaves)):
+            lists.take_in(*(np.concatenate(c) for c in zip(*hits)))
+            hits = []
+
+
+def _local_joins(lists: _Lists, ends: _Ends) -> int:
     """One round: the neighbours of each row, in both directions, are compared with one another."""
+    left, right, sq = ends
     n, k = lists.idx.shape
     here = np.arange(n, dtype=np.int32)
     there = lists.idx.reshape(-1) >= 0
@@ -138,14 +151,13 @@ def _local_joins(lists: _Lists, x: np.ndarray, sq: np.ndarray) -> int:
     step = max(1, _PAIRS // (m * m))
     for a in range(0, len(live), step):
         rows, recent = members[live[a : a + step]], new[live[a : a + step]]
-        v, s = x[rows], sq[rows]
-        dist = s[:, :, None] + s[:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
-        far = np.where(rows < 0, -1, lists.dist[rows, -1])
-        hit = np.flatnonzero((dist < far[:, :, None]) & (recent[:, :, None] | recent[:, None, :]))
+        d = left[rows] @ right[rows].transpose(0, 2, 1)
+        far = np.where(rows < 0, -np.inf, lists.dist[rows, -1] - sq[rows])
+        hit = np.flatnonzero((d < far[:, :, None]) & (recent[:, :, None] | recent[:, None, :]))
         of = hit // (m * m)
         u, w = rows[of, hit // m % m], rows[of, hit % m]
         good = (u != w) & (w >= 0)
-        hits.append((u[good], w[good], np.maximum(dist.reshape(-1)[hit[good]], 0)))
+        hits.append((u[good], w[good], np.maximum(d.reshape(-1)[hit[good]] + sq[u[good]], 0)))
         if sum(len(h[0]) for h in hits) > _HITS or a + step >= len(live):
             came += lists.take_in(*(np.concatenate(c) for c in zip(*hits)))
             hits = []
