@@ -14,19 +14,28 @@ from it in one letter, or in letters hidden by marks, if there is one.
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corelattice.plans.lineage import written
+
 LABELLED = 12_000  # labelled documents used for fitting, at most
-ROUNDS = 150
-SLIP = 0.03  # share of labels of either kind that readers get wrong, as the likelihood allows for it
-LONGEST = 64  # letters of a known word, at most
+TEXT = 64 << 20  # bytes of their texts, at most
+ROUNDS = 60
+DECAY = 1e-4
+SLIP = 0.04  # share of labels of either kind that readers get wrong, as the likelihood allows for it
+COSTLY = 3.0  # a document flagged wrongly weighs as much as so many missed: few of a table's documents are offending, more of the labelled ones
+FOLDS = 4
+FLAG = 0.1  # the threshold where labels are too few to choose one
+ENOUGH = 100  # labelled offending documents for that, at least
+HASHED = 64  # letters of a word that is looked up by its holes; longer ones are compared one by one
+BATCH = 1 << 22  # letters read at a time
 _BROKEN = re.compile(r"(?<=\w)[-=¬~] ?\n ?(?=\w)")
 _SPACED = re.compile(r"(?<!\S)(?:\w ){2,}\w(?!\w)")
 _ENDS = re.compile(r"[.;!?]+(?=\s|$)")
@@ -70,12 +79,13 @@ class Words:
         for w, n in sorted(counts.items(), key=lambda p: (-p[1], p[0])):
             if n < least:
                 break
-            if not w or len(w) > LONGEST:
+            if not w:
                 continue
             self.number[w] = len(self.number)
             if len(w) >= 4:
-                for h in _holes(w):
-                    self.pattern.setdefault(h, self.number[w])
+                if len(w) <= HASHED:
+                    for h in _holes(w):
+                        self.pattern.setdefault(h, self.number[w])
                 self.by_length.setdefault(len(w), []).append(w)
 
     def __getstate__(self) -> dict:
@@ -93,92 +103,159 @@ class Words:
     def _read(self, w: str) -> int:
         if w in self.number:
             return self.number[w]
-        if len(w) < 4 or len(w) > LONGEST:
+        same = self.by_length.get(len(w))
+        if same is None:  # no known word has as many letters
             return -1
-        for h in _holes(w):
-            if h in self.pattern:
-                return self.pattern[h]
+        if len(w) <= HASHED:
+            for h in _holes(w):
+                if h in self.pattern:
+                    return self.pattern[h]
+        else:
+            for known in same:
+                if sum(a != b for a, b in zip(w, known)) == 1:
+                    return self.number[known]
         marks = _HIDDEN.findall(w)
-        if 2 <= len(marks) < len(w) - 1 and len(w) <= LONGEST:  # several letters hidden, each by a mark
+        if 2 <= len(marks) < len(w) - 1:  # several letters hidden, each by a mark
             like = re.compile("".join("." if _HIDDEN.match(c) else re.escape(c) for c in w))
-            for known in self.by_length.get(len(w), ()):
+            for known in same:
                 if like.fullmatch(known):
                     return self.number[known]
         return -1
 
 
-class Model:
-    """Known words, weights of words and of pairs of words, and the bias."""
+class _Texts:
+    """The words of several texts as numbers: ``code`` of each word, its sentence ``at``, and each sentence's text ``owner``."""
+
+    def __init__(self, texts: Iterable[str]) -> None:
+        flat, lengths, owner = [], [], []
+        for d, t in enumerate(texts):
+            for s in sentences(t):
+                flat.extend(s)
+                lengths.append(len(s))
+                owner.append(d)
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        self.code, self.raw = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        self.owner = np.array(owner, np.int64)
+        self.at = np.repeat(np.arange(len(lengths)), np.array(lengths, np.int64))
+
+    def read(self, words: Words) -> np.ndarray:
+        """The known word of each word, -1 where there is none."""
+        return np.array([words.read(w) for w in self.raw], np.int64)[self.code]
+
+    def pairs(self, word: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of neighbouring known words of a sentence, and the sentences."""
+        a, b = word[:-1], word[1:]
+        both = (a >= 0) & (b >= 0) & (self.at[:-1] == self.at[1:])
+        return a[both] * m + b[both], self.at[:-1][both]
+
+
+def _place(known: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``codes`` are in the sorted ``known``, and which of them are there."""
+    if not len(known):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    place = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return place, known[place] == codes
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def __init__(self, words: Words, word_weight: np.ndarray, pairs: dict[int, float], bias: float) -> None:
-        self.words, self.weight, self.pairs, self.bias = words, word_weight.tolist(), pairs, bias
+
+class Model:
+    """Known words, weights of words and of pairs of words, the bias, and the threshold of a sentence's probability."""
+
+    def __init__(self, words: Words, word_weight: np.ndarray, pairs: np.ndarray, pair_weight: np.ndarray, bias: float, flag: float = FLAG) -> None:
+        self.words, self.weight, self.pairs, self.pair_weight, self.bias, self.flag = words, word_weight, pairs, pair_weight, bias, flag
+
+    def odds(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of each sentence of the texts, and whose it is."""
+        t = _Texts(texts)
+        n, m = len(t.owner), len(self.weight)
+        word = t.read(self.words)
+        known = word >= 0
+        z = self.bias + np.bincount(t.at[known], self.weight[word[known]], n)
+        code, at = t.pairs(word, m)
+        place, there = _place(self.pairs, code)
+        return z + np.bincount(at[there], self.pair_weight[place[there]], n), t.owner
 
     def sentence_scores(self, text: str) -> list[float]:
         """Log odds of each sentence."""
-        read, weight, pairs, m = self.words.read, self.weight, self.pairs, len(self.weight)
-        out = []
-        for s in sentences(text):
-            z, last = self.bias, -1
-            for w in s:
-                i = read(w)
-                if i >= 0:
-                    z += weight[i]
-                    if last >= 0:
-                        z += pairs.get(last * m + i, 0.0)
-                last = i
-            out.append(z)
-        return out
-
-
-def fit(docs: list[tuple[str, float]], rounds: int = ROUNDS, decay: float = 6e-5) -> Model:
-    """The model trained on texts and labels in [0, 1]; without positive labels it scores all low."""
+        return self.odds([text])[0].tolist()
+
+    def documents(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the noisy-or of its sentences, the number of the worst one from 1 (0: none), and its probability."""
+        z, owner = self.odds(texts)
+        p = _sigmoid(z)
+        score = 1 - np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts)))
+        worst, top = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        if len(z):
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(z)]))
+            best = np.flatnonzero(z == np.maximum.reduceat(z, first)[of])[::-1]
+            worst[owner[best]] = best - first[of[best]] + 1  # of equal ones the first
+            top[owner[best]] = p[best]
+        return score, worst, top
+
+
+def fit(docs: list[tuple[str, float]], rounds: int = ROUNDS, decay: float = DECAY) -> Model:
+    """The model trained on texts and labels in [0, 1]; without positive labels it scores all low.
+
+    The threshold is chosen on held-out documents: ``FOLDS`` models score the
+    documents that they were not trained on.
+    """
+    t = _Texts(d for d, _ in docs)
     counts: Counter = Counter()
-    for t, _ in docs:
-        for s in sentences(t):
-            counts.update(map(_plain, s))
+    for w, n in zip(t.raw, np.bincount(t.code, minlength=len(t.raw)).tolist()):
+        counts[_plain(w)] += n
     words = Words(counts)
     m = max(1, len(words.number))
-    pair_count: Counter = Counter()
-    # flat numbers rather than lists of words: the sample stays small in memory
-    rows, pair_rows, ends, pair_ends, owner = array("i"), array("q"), array("q", [0]), array("q", [0]), array("i")
-    for d, (t, _) in enumerate(docs):
-        for s in sentences(t):
-            ids = [words.read(w) for w in s]
-            own = {a * m + b for a, b in zip(ids, ids[1:]) if a >= 0 and b >= 0}
-            pair_count.update(own)
-            rows.extend(sorted({i for i in ids if i >= 0}))
-            pair_rows.extend(sorted(own))
-            ends.append(len(rows))
-            pair_ends.append(len(pair_rows))
-            owner.append(d)
-    known = {p: m + j for j, p in enumerate(sorted(p for p, n in pair_count.items() if n >= 3))}
-    pair_codes = np.array(sorted(known), dtype=np.int64)
-    flat_pairs = np.frombuffer(pair_rows, np.int64) if len(pair_rows) else np.empty(0, np.int64)
-    place = np.searchsorted(pair_codes, flat_pairs)
-    kept = (place < len(pair_codes)) & (pair_codes[np.minimum(place, max(len(pair_codes) - 1, 0))] == flat_pairs) if len(pair_codes) else np.zeros(len(flat_pairs), bool)
-    n_rows = len(owner)
-    word_row = np.repeat(np.arange(n_rows), np.diff(np.frombuffer(ends, np.int64)))
-    pair_row = np.repeat(np.arange(n_rows), np.diff(np.frombuffer(pair_ends, np.int64)))[kept]
-    words_flat = np.frombuffer(rows, np.int32) if len(rows) else np.empty(0, np.int32)
-    idx = np.r_[words_flat.astype(np.int64), m + place[kept]]
-    row_of = np.r_[word_row, pair_row]
-    own = np.frombuffer(owner, np.int32).astype(np.int64) if n_rows else np.empty(0, np.int64)
+    word = t.read(words)
+    code, pair_at = t.pairs(word, m)
+    pairs, seen = np.unique(code, return_counts=True)
+    pairs = pairs[seen >= 3]
+    place, there = _place(pairs, code)
+    feature, at = np.r_[word[word >= 0], m + place[there]], np.r_[t.at[word >= 0], pair_at[there]]
+    size = m + len(pairs)
     # rare words and pairs count for more than the words of every page
-    docs_with = np.bincount(np.unique(own[row_of] * (m + len(known)) + idx) % (m + len(known)), minlength=m + len(known))
+    docs_with = np.bincount(np.unique(t.owner[at] * size + feature) % size, minlength=size)
     rare = np.log(1 + len(docs) / np.maximum(docs_with, 1)) / np.log(1 + max(len(docs), 1))
     y = np.array([v for _, v in docs], dtype=float)
-    w = np.zeros(m + len(known))
-    bias = -4.0
-    first, second = np.zeros(len(w)), np.zeros(len(w))
-    b1 = b2 = 0.0
+
+    def trained(some: np.ndarray | None) -> tuple[np.ndarray, float]:
+        if some is None:
+            return _trained(feature, at, t.owner, y, rare, rounds, decay)
+        own = np.cumsum(some) - 1
+        mine = some[t.owner]
+        line = np.cumsum(mine) - 1
+        kept = mine[at]
+        return _trained(feature[kept], line[at[kept]], own[t.owner[mine]], y[some], rare, rounds, decay)
+
+    flag = FLAG
+    if y.sum() >= ENOUGH:
+        top = np.zeros(len(y))
+        for fold in range(FOLDS):
+            some = np.arange(len(y)) % FOLDS != fold  # the documents come in the order of a hash
+            w, bias = trained(some)
+            held = ~some[t.owner]
+            p = _sigmoid(bias + np.bincount(at, w[feature], len(t.owner)))
+            np.maximum.at(top, t.owner[held], p[held])
+        flag = _threshold(top, y)
+    w, bias = trained(None)
+    return Model(words, w[:m], pairs, w[m:], bias, flag)
+
+
+def _trained(feature: np.ndarray, at: np.ndarray, owner: np.ndarray, y: np.ndarray, rare: np.ndarray, rounds: int, decay: float) -> tuple[np.ndarray, float]:
+    """Weights and bias by gradient steps on the likelihood of the labels through the noisy-or."""
+    n = len(owner)
+    w, first, second = (np.zeros(len(rare)) for _ in range(3))
+    bias, b1, b2 = -5.0, 0.0, 0.0
     for step in range(1, rounds + 1):
-        z = np.clip(bias + np.bincount(row_of, (w * rare)[idx], n_rows), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        none = np.exp(np.bincount(own, np.log1p(-np.minimum(p, 1 - 1e-9)), len(docs)))  # prod(1 - p)
+        p = _sigmoid(bias + np.bincount(at, (w * rare)[feature], n))
+        none = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)))  # prod(1 - p)
         said = SLIP + (1 - 2 * SLIP) * (1 - none)  # chance that a reader says so
         # d log-likelihood / d z of a sentence
-        g = p * ((1 - 2 * SLIP) * none * (y / said - (1 - y) / (1 - said)))[own]
-        gw = np.bincount(idx, g[row_of], len(w)) * rare - decay * len(docs) * w
+        g = p * ((1 - 2 * SLIP) * none * (y / said - (1 - y) / (1 - said)))[owner]
+        gw = np.bincount(feature, g[at], len(w)) * rare - decay * len(y) * w
         gb = g.sum()
         first = 0.9 * first + 0.1 * gw
         second = 0.99 * second + 0.01 * gw * gw
@@ -186,19 +263,30 @@ def fit(docs: list[tuple[str, float]], rounds: int = ROUNDS, decay: float = 6e-5
         rate = 0.1 / np.sqrt(1 + step / 30)
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         w += rate * (first / c1) / (np.sqrt(second / c2) + 1e-8) * (second > 0)
-        bias += rate * (b1 / c1) / (np.sqrt(b2 / c2) + 1e-8)
-        bias = min(bias, -2.0)
-    w = w * rare
-    pairs = {p: float(w[j]) for p, j in known.items() if abs(w[j]) > 1e-3}
-    return Model(words, w[:m], pairs, float(bias))
+        bias = min(bias + rate * (b1 / c1) / (np.sqrt(b2 / c2) + 1e-8), -2.0)
+    return w * rare, float(bias)
+
+
+def _threshold(top: np.ndarray, y: np.ndarray) -> float:
+    """The threshold of the best balance of found and wrongly flagged documents, allowing for readers' slips."""
+
+    def offending(some: np.ndarray) -> float:
+        return (y[some].sum() - SLIP * some.sum()) / (1 - 2 * SLIP)
+
+    all_ = offending(np.ones(len(y), bool))
+    best, flag = -1.0, FLAG
+    for t in np.round(np.arange(0.04, 0.61, 0.02), 2):
+        found = min(max(offending(top >= t), 0.0), all_)
+        wrong = max((top >= t).sum() - found, 0.0)
+        balance = 2 * found / max(found + COSTLY * wrong + all_, 1e-9)
+        if balance > best:
+            best, flag = balance, float(t)
+    return flag
 
 
 def document_score(z: Iterable[float]) -> float:
     """Noisy-or of sentences' log odds; 0 for a text without sentences."""
-    none = 1.0
-    for v in z:
-        none *= 1 / (1 + np.exp(min(v, 30.0)))
-    return float(1 - none)
+    return float(1 - np.exp(np.log1p(-np.minimum(_sigmoid(np.array(list(z), dtype=float)), 1 - 1e-12)).sum()))
 
 
 def labels(rows: DataFrame, key: str, label: str) -> DataFrame:
@@ -207,16 +295,24 @@ def labels(rows: DataFrame, key: str, label: str) -> DataFrame:
     return clean.groupBy(key).agg(F.avg(F.col(label).cast("double")).alias("label"))
 
 
-def fitted(docs: DataFrame, rows: DataFrame, key: str, text: str, label: str, most: int = LABELLED) -> Model:
-    """The model fitted on at most ``most`` labelled documents, chosen by a hash of the key."""
+def fitted(docs: DataFrame, rows: DataFrame, key: str, text: str, label: str, most: int = LABELLED, text_bytes: int = TEXT) -> Model:
+    """The model fitted on at most ``most`` labelled documents, and ``text_bytes`` of text, chosen by a hash of the key.
+
+    A document that goes beyond the bytes is left out as a whole.
+    """
     few = labels(rows, key, label).withColumn("__h", F.xxhash64(key)).orderBy("__h", key).limit(most)  # the sample's bound
-    got = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(few), key).orderBy("__h", key).select(text, "label").toPandas()
+    got = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(few), key)
+    got = written(got.withColumn("__size", F.octet_length(text)), "labelled")
+    upto = F.sum("__size").over(Window.orderBy("__h", key).rowsBetween(Window.unboundedPreceding, 0))  # over the sample's keys
+    kept = got.select(key, "__h", "__size").select(key, upto.alias("__upto")).where(F.col("__upto") <= text_bytes).select(key)
+    got = got.join(F.broadcast(kept), key).orderBy("__h", key).select(text, "label").toPandas()
     return fit(list(zip(got[text], got["label"])))
 
 
 def scored(docs: DataFrame, model: Model, key: str, text: str, also: list[str] | None = None) -> DataFrame:
-    """``key``, ``also``, ``score`` (noisy-or), ``sentence`` (number of the worst one from 1, 0 if none), ``sentence_score``.
+    """``key``, ``also``, ``score`` (noisy-or), ``sentence`` (number of the worst one from 1, 0 if none), ``sentence_score``, ``flagged``.
 
+    ``flagged``: the worst sentence's probability reaches the model's threshold.
     A NULL or empty text has score 0.
     """
     also = also or []
@@ -224,14 +320,15 @@ def scored(docs: DataFrame, model: Model, key: str, text: str, also: list[str] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            score, worst, top = [], [], []
-            for s in t[text].to_pylist():
-                z = model.sentence_scores(s) if s else []
-                at = int(np.argmax(z)) if z else -1
-                score.append(document_score(z))
-                worst.append(at + 1)
-                top.append(float(1 / (1 + np.exp(-min(max(z[at], -30.0), 30.0)))) if z else 0.0)
-            yield pa.RecordBatch.from_arrays([t[key], *(t[c] for c in also), pa.array(score, pa.float64()), pa.array(worst, pa.int32()), pa.array(top, pa.float64())], [key, *also, "score", "sentence", "sentence_score"])
-
-    fields = ", ".join([f"{key} {kinds[key]}", *(f"{c} {kinds[c]}" for c in also), "score double", "sentence int", "sentence_score double"])
+            texts = t[text]
+            length = np.cumsum(np.nan_to_num(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(float)))
+            a = 0
+            while a < t.num_rows:  # a bounded number of letters, one text at least
+                b = max(a + 1, int(np.searchsorted(length, (length[a - 1] if a else 0) + BATCH, "right")))
+                part = t.slice(a, b - a)
+                score, worst, top = model.documents([s or "" for s in part[text].to_pylist()])
+                yield pa.RecordBatch.from_arrays([part[key], *(part[c] for c in also), pa.array(score), pa.array(worst.astype(np.int32)), pa.array(top), pa.array(top >= model.flag)], [key, *also, "score", "sentence", "sentence_score", "flagged"])
+                a = b
+
+    fields = ", ".join([f"{key} {kinds[key]}", *(f"{c} {kinds[c]}" for c in also), "score double", "sentence int", "sentence_score double", "flagged boolean"])
     return docs.select(key, text, *also).mapInArrow(run, fields)

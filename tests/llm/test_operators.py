@@ -346,9 +346,9 @@ def _texts(n, seed):
 
 
 def test_scores_find_pages_and_sentences():
-    train = [(t, y if random.Random(i).random() > 0.03 else 1 - y) for i, (t, y) in enumerate(_texts(600, 1))]
+    train = [(t, y if random.Random(i).random() > 0.03 else 1 - y) for i, (t, y) in enumerate(_texts(900, 1))]
     model, test = abuse.fit(train), _texts(300, 2)
-    said = [abuse.document_score(model.sentence_scores(t)) >= 0.25 for t, _ in test]
+    said = [model.documents([t])[2][0] >= model.flag for t, _ in test]
     hit = sum(s and y for s, (_, y) in zip(said, test))
     assert hit / max(1, sum(said)) > 0.9 and hit / sum(y for _, y in test) > 0.9
     for t, y in test[:60]:
@@ -357,18 +357,41 @@ def test_scores_find_pages_and_sentences():
             assert any(w in worst for w in ("swine", "hang", "bastard"))
 
 
+def test_texts_together_score_as_each_alone():
+    model, texts = abuse.fit(_texts(300, 4)), [t for t, _ in _texts(20, 5)] + ["", "...", "one. one. drop dead. drop dead"]
+    score, worst, top = model.documents(texts)
+    for i, t in enumerate(texts):
+        z = model.sentence_scores(t)
+        assert np.isclose(score[i], abuse.document_score(z)) and worst[i] == (int(np.argmax(z)) + 1 if z else 0)
+        assert np.isclose(top[i], 1 / (1 + np.exp(-max(z))) if z else 0.0)
+
+
+def test_the_threshold_allows_for_slips():
+    y = np.r_[np.ones(192), np.zeros(8), np.zeros(1920), np.ones(80)]  # 4 % of the labels wrong
+    top = np.r_[np.full(200, 0.5), np.full(2000, 0.01)]
+    assert 0.01 < abuse._threshold(top, y) <= 0.5
+    top[200:400] = 0.2
+    assert 0.2 < abuse._threshold(top, y) <= 0.5
+
+
 def test_reading_of_damaged_text():
     assert abuse.sentences("A filt-\nhy s w i n e. Next;\n\n...") == [["a", "filthy", "swine"], ["next"]]
-    words = abuse.Words(abuse.Counter({"stupid": 5, "bastard": 4, "a": 3, "": 9}))
+    long = "ab" * 50_000
+    words = abuse.Words(abuse.Counter({"stupid": 5, "bastard": 4, "a": 3, "": 9, long: 2}))
     assert words.read("stupld,") == words.read("stup1d") == words.read("stupid") >= 0
     assert words.read("b*st**d") == words.read("bastard") and words.read("zebra") == -1 and words.read("") == -1
+    assert words.read(long) == words.read("x" + long[1:]) >= 0 and words.read("xy" + long[2:]) == words.read(long + "a") == -1
 
 
 def test_scoring_edge_cases(spark):
-    model = abuse.fit(_texts(200, 3))
+    model = abuse.fit(_texts(400, 3))
     d = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 400_000), (4, "you filthy swine, old tom, drop dead.")], "doc_id long, text string").withColumn("score", F.lit("clash"))
     got = {r.doc_id: r for r in abuse.scored(d, model, "doc_id", "text").collect()}
-    assert got[1].score == got[2].score == 0.0 and got[1].sentence == 0 and got[4].score > 0.25 and got[4].sentence == 1
+    assert got[1].score == got[2].score == 0.0 and got[1].sentence == 0 and got[4].flagged and got[4].sentence == 1 and not got[3].flagged and not got[1].flagged
     rows = spark.createDataFrame([(4, 1), (4, 1), (4, 0), (1, None), (None, 1)], "doc_id long, toxic int").withColumn("label", F.lit(9))
     assert [tuple(r) for r in abuse.labels(rows, "doc_id", "toxic").collect()] == [(4, 0.5)]
-    assert abuse.fitted(d, rows.limit(0), "doc_id", "text", "toxic").sentence_scores("any text") == [-4.0]
+    none = abuse.fitted(d, rows.limit(0), "doc_id", "text", "toxic")
+    assert none.sentence_scores("any text") == [-5.0] and none.flag == abuse.FLAG
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(_texts(50, 6))], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert len(abuse.fitted(d, marks, "doc_id", "text", "toxic", text_bytes=2000).weight) < len(abuse.fitted(d, marks, "doc_id", "text", "toxic").weight)
