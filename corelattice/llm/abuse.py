@@ -32,8 +32,8 @@ DECAY = 1e-4
 SLIP = 0.04  # share of labels of either kind that readers get wrong, as the likelihood allows for it
 COSTLY = 3.0  # a document flagged wrongly weighs as much as so many missed: few of a table's documents are offending, more of the labelled ones
 FOLDS = 4
-FLAG = 0.1  # the threshold where labels are too few to choose one
-ENOUGH = 100  # labelled offending documents for that, at least
+FLAG = 0.5  # the threshold where labels are too few to choose one
+ENOUGH = 20  # labelled offending documents for that, at least
 HASHED = 64  # letters of a word that is looked up by its holes; longer ones are compared one by one
 BATCH = 1 << 22  # letters read at a time
 _BROKEN = re.compile(r"(?<=\w)[-=¬~] ?\n ?(?=\w)")

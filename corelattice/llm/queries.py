@@ -138,8 +138,8 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources that cannot give their target share even when repeated as often as allowed."""
-    return _mix(spark, sf)[1].where("capacity < wanted").select("source")
+    """Sources whose quota of the apportionment is all they have, and whose draw stays below their target share."""
+    return _mix(spark, sf)[1].where("short and drawn < wanted").select("source")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
