@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corelattice.operators.current import current_rows
-from corelattice.operators.proximity import disc_of_polygon, in_micrometres, inside_discs, near_pairs
+from corelattice.operators.proximity import disc_of_polygon, in_micrometres, inside_discs, inside_polygons, near_pairs, vertices
 from corelattice.plans.lineage import written
 from corelattice.sources.tables import table
 
@@ -35,7 +35,17 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.lit("near").alias("kind"), "key_a", "key_b").unionByName(inside.select(F.lit("inside").alias("kind"), "key_a", "key_b"))
 
 
-QUERIES = {"p1_found": p1_found}
+def inside_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells inside the drawn outlines of cores, as polygons."""
+    cores = table(spark, sf, "cores_gdf").where("circles is not null").select("core_id", "image", "coord_system", vertices("circles").alias("ring")).dropDuplicates(["core_id"])
+    # one unit for all: the vertices one by one
+    scale = table(spark, sf, "tma_images").select("image", "mpp").dropDuplicates(["image"])
+    cores = cores.join(scale, "image").withColumn("k", F.when(F.col("coord_system") == "um", 1.0).otherwise(F.col("mpp")))
+    cores = cores.withColumn("ring", F.transform("ring", lambda v: F.struct((v["x"] * F.col("k")).alias("x"), (v["y"] * F.col("k")).alias("y"))))
+    return inside_polygons(_cells(spark, sf), cores, "image", "cell_key", "x_coordinate", "y_coordinate", "core_id", "ring").select("image", "key_a", "key_b")
+
+
+QUERIES = {"p1_found": p1_found, "inside_outlines": inside_outlines}
 
 _CELLS_SQL = """
 cells AS (
@@ -63,5 +73,15 @@ WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 9.0
 UNION ALL
 SELECT 'inside', a.cell_key, c.core_id FROM cells a JOIN cores c ON a.image = c.image
 WHERE (a.tma_label IS NULL OR trim(a.tma_label) = '') AND (a.x - c.x) ** 2 + (a.y - c.y) ** 2 <= c.radius ** 2
-"""
+""",
+    "inside_outlines": f"""
+WITH {_CELLS_SQL},
+c0 AS (SELECT DISTINCT core_id, c.image, circles, CASE coord_system WHEN 'um' THEN 1 ELSE mpp END AS k FROM cores_gdf c JOIN tma_images i ON i.image = c.image WHERE circles IS NOT NULL),
+n AS (SELECT core_id, image, k, list_transform(regexp_extract_all(circles, '-?[0-9]+\\.?[0-9]*(?:[eE][-+]?[0-9]+)?'), lambda s: s::DOUBLE) AS n FROM c0),
+e AS (SELECT core_id, image, n[2 * i - 1] * k AS ax, n[2 * i] * k AS ay, n[2 * i + 1] * k AS bx, n[2 * i + 2] * k AS bb FROM (SELECT *, unnest(range(1, (len(n) // 2)::BIGINT)) AS i FROM n)),
+b AS (SELECT core_id, image, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM e GROUP BY ALL),
+m AS (SELECT p.image, cell_key, core_id, x, y FROM cells p JOIN b ON b.image = p.image AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1)
+SELECT image, cell_key AS key_a, core_id AS key_b FROM m JOIN e USING (image, core_id) WHERE (ay > y) <> (bb > y) AND x < (bx - ax) * (y - ay) / (bb - ay) + ax
+GROUP BY ALL HAVING count(*) % 2 = 1
+""",
 }

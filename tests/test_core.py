@@ -13,7 +13,7 @@ from corelattice.functions.special import betainc, t_two_sided, u_exact_table
 from corelattice.operators import aggregate as A
 from corelattice.operators import cluster, embed, evaluate, filters, graph, image, markers, metadata, stats, survival
 from corelattice.operators.current import current_rows
-from corelattice.operators.proximity import disc_of_polygon, inside_discs, near_pairs
+from corelattice.operators.proximity import disc_of_polygon, inside_discs, inside_polygons, near_pairs, vertices
 from corelattice.sources import store
 
 
@@ -59,6 +59,28 @@ def test_inside_discs_and_polygons(spark):
     assert rows(inside_discs(p, d, "g", "k", "x", "y", "id", "x", "y", "r"), "key_a", "key_b") == [(7, 1), (7, 2), (7, 3)]
 
 
+def test_regions_of_any_size_and_shape(spark):
+    rng = random.Random(3)
+    pts = [("g" if k % 3 else "h", k, rng.uniform(-900, 900), rng.uniform(-900, 900)) for k in range(400)] + [("g", 900, None, 0.0), (None, 901, 0.0, 0.0)]
+    p = spark.createDataFrame(pts, "g string, k long, x double, y double").withColumn("__lo", F.lit(1))
+    discs = [(i, "g", rng.uniform(-500, 500), rng.uniform(-500, 500), r) for i, r in enumerate([0.0, 0.1, 3.0, 40.0, 260.0, 800.0, 5000.0])]
+    d = spark.createDataFrame(discs, "id long, g string, x double, y double, r double")
+    ok = [q for q in pts if q[0] == "g" and q[2] is not None]
+    want = sorted((q[1], c[0]) for q in ok for c in discs if math.dist(q[2:], c[2:4]) <= c[4])
+    assert rows(inside_discs(p, d, "g", "k", "x", "y", "id", "x", "y", "r"), "key_a", "key_b") == want and want
+    star = [(700 * (1 if i % 2 else 0.3) * math.cos(i * math.pi / 5), 700 * (1 if i % 2 else 0.3) * math.sin(i * math.pi / 5)) for i in range(10)]
+    text = "polygon ((" + ", ".join(f"{x:.3f} {y:.3f}" for x, y in [*star, star[0]]) + "))"
+    poly = spark.createDataFrame([(1, "g", text), (2, "g", None), (3, "g", "POLYGON EMPTY"), (4, "h", text)], "id long, g string, wkt string").withColumn("ring", vertices("wkt"))
+
+    def inside(x, y):
+        ends = list(zip(star, [*star[1:], star[0]]))
+        return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in ends) % 2 == 1
+
+    want = sorted((q[1], 1 if q[0] == "g" else 4) for q in pts if q[0] and q[2] is not None and inside(q[2], q[3]))
+    assert rows(inside_polygons(p, poly, "g", "k", "x", "y", "id", "ring"), "key_a", "key_b") == want and len(want) > 20
+    assert inside_polygons(p, poly.limit(0), "g", "k", "x", "y", "id", "ring").count() == 0
+
+
 # filters and transforms -----------------------------------------------------
 
 
