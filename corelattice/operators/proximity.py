@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corelattice.functions import curve
+from corelattice.plans.lineage import written
 
 FEWEST = 8  # quads across a region are between FEWEST / 2 and FEWEST
 
@@ -90,7 +91,8 @@ def _in_regions(points: DataFrame, regions: DataFrame, group: str, key: str, x:
     p = points.select(F.col(group).alias("__g"), F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y"))
     p = p.where("__g is not null and __k is not null and __x is not null and __y is not null and not isnan(__x) and not isnan(__y)")
     wide = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"), F.lit(curve.BASE))
-    regions = regions.withColumn("__level", F.greatest(F.ceil(F.log2(wide / F.lit(FEWEST * curve.BASE))), F.lit(0)).cast("int"))
+    # read once for every level
+    regions = written(regions.withColumn("__level", F.greatest(F.ceil(F.log2(wide / F.lit(FEWEST * curve.BASE))), F.lit(0)).cast("int")), "regions")
     out = None
     for level in sorted(r[0] for r in regions.select("__level").distinct().collect()):  # 26 at most
         d = _cover(regions.where(F.col("__level") == level), _BOX, level)
