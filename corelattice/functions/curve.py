@@ -30,14 +30,15 @@ def square(v: Column, level: int = 0) -> Column:
 _STEPS = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
 
 
-def interleaved(df: DataFrame, column: Column, row: Column, out: str) -> DataFrame:
+def interleaved(df: DataFrame, column: Column, row: Column, out: str, bits: int = 32) -> DataFrame:
     """Adds ``out``, the code of the square (or quad) at ``column``, ``row``.
 
     Each step is a projection of its own: as one expression, every step would
-    double the work, since it uses the step before it twice.
+    double the work, since it uses the step before it twice.  Numbers of fewer
+    ``bits`` need fewer steps.
     """
     df = df.withColumns({"__ix": column, "__iy": row})
-    for by, mask in _STEPS:
+    for by, mask in (s for s in _STEPS if s[0] < bits):
         df = df.withColumns({c: F.col(c).bitwiseOR(F.shiftleft(c, by)).bitwiseAND(F.lit(mask).cast("long")) for c in ("__ix", "__iy")})
     return df.withColumn(out, F.col("__ix").bitwiseOR(F.shiftleft("__iy", 1))).drop("__ix", "__iy")
 

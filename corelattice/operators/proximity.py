@@ -20,18 +20,27 @@ from corelattice.plans.lineage import written
 FEWEST = 8  # quads across a region are between FEWEST / 2 and FEWEST
 
 
-def _cover(df: DataFrame, box: tuple[str, str, str, str], level: int) -> DataFrame:
-    """One row for each quad of ``level`` that the box (xmin, ymin, xmax, ymax) touches: ``__block``, and the range ``__lo`` to ``__hi`` of codes there."""
+def _cover(df: DataFrame, box: tuple[str, str, str, str], level: int, kept: Column | None = None, block: Column | None = None) -> DataFrame:
+    """One row for each quad of ``level`` that the box (xmin, ymin, xmax, ymax) touches: ``__block``, and the range ``__lo`` to ``__hi`` of codes there.
+
+    ``kept``: a condition on the quad ``__qx``, ``__qy``; ``block``: one on its number.
+    """
     ends = {"x": (F.col(box[0]), F.col(box[2])), "y": (F.col(box[1]), F.col(box[3]))}
     out = df
     for axis, (low, high) in ends.items():
         out = out.withColumn(f"__q{axis}", F.explode(F.sequence(curve.square(low, level), curve.square(high, level))))
-    for axis, (low, high) in ends.items():
+    if kept is not None:
+        out = out.where(kept)
+    out = curve.interleaved(out, F.col("__qx"), F.col("__qy"), "__block")
+    if block is not None:
+        out = out.where(block)
+    for axis, (low, high) in ends.items():  # the box within the quad, counted from the quad's corner
         first = F.shiftleft(f"__q{axis}", level)
-        out = out.withColumn(f"__a{axis}", F.greatest(curve.square(low), first)).withColumn(f"__b{axis}", F.least(curve.square(high), first + F.lit((1 << level) - 1).cast("long")))
-    out = curve.interleaved(out, F.col("__ax"), F.col("__ay"), "__lo")
-    out = curve.interleaved(out, F.col("__bx"), F.col("__by"), "__hi").withColumn("__block", F.shiftright("__lo", 2 * level))
-    return out.drop("__ax", "__ay", "__bx", "__by")
+        out = out.withColumn(f"__a{axis}", F.greatest(curve.square(low) - first, F.lit(0).cast("long"))).withColumn(f"__b{axis}", F.least(curve.square(high) - first, F.lit((1 << level) - 1).cast("long")))
+    for end, code in (("a", "__lo"), ("b", "__hi")):
+        out = curve.interleaved(out, F.col(f"__{end}x"), F.col(f"__{end}y"), "__in", level)
+        out = out.withColumn(code, F.shiftleft("__block", 2 * level).bitwiseOR(F.col("__in"))).drop("__in")
+    return out.drop("__ax", "__ay", "__bx", "__by", "__qx", "__qy")
 
 
 def _touched(x: str, y: str, radius: Column, level: int) -> Column:
@@ -73,8 +82,7 @@ def near_pairs(points: DataFrame, group: str, key: str, x: str, y: str, radius:
     clean = points.select(F.col(group).alias("__g"), F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y"))
     clean = clean.where("__g is not null and __k is not null and __x is not null and __y is not null and not isnan(__x) and not isnan(__y)")
     pts = _coded(clean, "__x", "__y", level)
-    discs = _cover(_boxed(pts.drop("__code").withColumnRenamed("__block", "__own"), "__x", "__y", r), _BOX, level)
-    discs = discs.where(_touched("__x", "__y", r, level) & (F.col("__block") >= F.col("__own")))
+    discs = _cover(_boxed(pts.drop("__code").withColumnRenamed("__block", "__own"), "__x", "__y", r), _BOX, level, _touched("__x", "__y", r, level), F.col("__block") >= F.col("__own"))
     discs = discs.select("__g", "__block", "__lo", "__hi", "__own", F.col("__k").alias("__k2"), F.col("__x").alias("__x2"), F.col("__y").alias("__y2"))
     met = pts.join(discs, ["__g", "__block"]).where(
         F.col("__code").between(F.col("__lo"), F.col("__hi"))
@@ -95,10 +103,8 @@ def _in_regions(points: DataFrame, regions: DataFrame, group: str, key: str, x:
     regions = written(regions.withColumn("__level", F.greatest(F.ceil(F.log2(wide / F.lit(FEWEST * curve.BASE))), F.lit(0)).cast("int")), "regions")
     out = None
     for level in sorted(r[0] for r in regions.select("__level").distinct().collect()):  # 26 at most
-        d = _cover(regions.where(F.col("__level") == level), _BOX, level)
-        if touched is not None:
-            d = d.where(touched(level))
-        met = _coded(p, "__x", "__y", level).join(d.drop("__qx", "__qy", *_BOX), ["__g", "__block"])
+        d = _cover(regions.where(F.col("__level") == level), _BOX, level, touched(level) if touched else None)
+        met = _coded(p, "__x", "__y", level).join(d.drop(*_BOX), ["__g", "__block"])
         met = met.where(F.col("__code").between(F.col("__lo"), F.col("__hi")) & inside).select(F.col("__g").alias(group), F.col("__k").alias("key_a"), F.col("__k2").alias("key_b"), *kept)
         out = met if out is None else out.unionByName(met)
     if out is None:
