@@ -10,7 +10,6 @@ from corelattice.sources.tables import table
 
 MARKERS = 16
 VAR = ["NUX1", "EPQ2", "STV3", "LYK4", "LYB5", "MAF6", "GRZ7", "KIP8", "ENO9", "SMD10", "PLX11", "HYP12", "CHK13", "FOL14", "NEV15", "TRU16"]
-PHENOTYPES = ["border", "duct", "fibre", "granule", "helper-l", "killer-l", "mantle-b", "nerve", "plasma-b", "regulator-l", "scavenger", "sentinel", "vessel"]
 PLAIN = ["image", "sample_id", "lyr", "coord_system", "area", "eccentricity", "n_genes", "s_score", "g2m_score", "phase", "neighborhood", "measured_at", "x", "x_pca"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelattice.base import CELLS, MARKERS, PHENOTYPES, cells
+from corelattice.base import CELLS, MARKERS, cells
 from corelattice.operators import cluster, embed, evaluate, graph, markers
 from corelattice.operators.proximity import in_micrometres
 from corelattice.plans.lineage import written
@@ -28,13 +28,18 @@ _UM = f"""{CELLS}, pts AS (SELECT cell_key, c.image, x_coordinate * CASE coord_s
 FROM cells c JOIN tma_images i ON i.image = c.image WHERE x_coordinate IS NOT NULL AND y_coordinate IS NOT NULL)"""
 _EDGES = "e AS (SELECT src, dst, max(coalesce(weight, 1)) AS weight FROM spatial_connectivities WHERE src IS NOT NULL AND dst IS NOT NULL AND coalesce(weight, 1) <> 0 GROUP BY ALL)"
 _SYM = f"{_EDGES}, sym AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
-_VALUES = "(VALUES " + ", ".join(f"('{p}', {i})" for i, p in enumerate(PHENOTYPES)) + ") v(p, i)"
+_VALUES = "(SELECT p, row_number() OVER (ORDER BY p) AS i FROM (SELECT DISTINCT phenotype AS p FROM cells WHERE phenotype IS NOT NULL)) v"
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     return in_micrometres(cells(spark, sf, "image", "x_coordinate", "y_coordinate", "coord_system"), table(spark, sf, "tma_images"), ["x_coordinate", "y_coordinate"])
 
 
+def _phenotypes(own: DataFrame) -> list[str]:
+    """The phenotypes there are, in order: categories, a short list."""
+    return [r[0] for r in own.where("phenotype is not null").select("phenotype").distinct().orderBy("phenotype").collect()]
+
+
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.links(table(spark, sf, "spatial_connectivities"))
 
@@ -90,7 +95,7 @@ SELECT g AS sample_id, pa AS phenotype_a, pb AS phenotype_b, n_a, n_b, i * h AS
 
 def _density(spark: SparkSession, sf: str, method: str) -> DataFrame:
     own = written(cells(spark, sf, "sample_id", "phenotype"), "own")
-    out = graph.proximity_density(_edges(spark, sf), own, "cell_key", "sample_id", "phenotype", graph.all_pairs(PHENOTYPES), method)
+    out = graph.proximity_density(_edges(spark, sf), own, "cell_key", "sample_id", "phenotype", graph.all_pairs(_phenotypes(own)), method)
     return out.withColumn("density", F.round("density", 9))
 
 
@@ -106,14 +111,16 @@ def pair_interactions_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CELLS}, {_EDGES}, v AS (SELECT * FROM {_VALUES}), c AS (SELECT src, phenotype, count(*) AS n FROM e JOIN cells ON cell_key = dst GROUP BY ALL) SELECT cell_key, p AS phenotype, coalesce(n, 0) AS n FROM cells CROSS JOIN v LEFT JOIN c ON src = cell_key AND c.phenotype = p")
 def neighbor_counts(spark: SparkSession, sf: str) -> DataFrame:
-    out = graph.neighbour_counts(_edges(spark, sf), cells(spark, sf, "phenotype"), "cell_key", "phenotype", PHENOTYPES)
-    named = F.arrays_zip(F.array(*[F.lit(p) for p in PHENOTYPES]).alias("p"), F.col("counts").alias("n"))
+    own = written(cells(spark, sf, "phenotype"), "own")
+    kinds = _phenotypes(own)
+    out = graph.neighbour_counts(_edges(spark, sf), own, "cell_key", "phenotype", kinds)
+    named = F.arrays_zip(F.array(*[F.lit(p) for p in kinds]).alias("p"), F.col("counts").alias("n"))
     return out.select("cell_key", F.explode(named).alias("z")).select("cell_key", F.col("z.p").alias("phenotype"), F.col("z.n").alias("n"))
 
 
 def _cn(spark: SparkSession, sf: str, k: int):
     own = written(cells(spark, sf, "phenotype"), "own")
-    counts = written(graph.neighbour_counts(_edges(spark, sf), own, "cell_key", "phenotype", PHENOTYPES), "counts")
+    counts = written(graph.neighbour_counts(_edges(spark, sf), own, "cell_key", "phenotype", _phenotypes(own)), "counts")
     return own, counts, graph.neighbourhoods(counts, "cell_key", k)
 
 
@@ -125,17 +132,18 @@ def kmeans_cn(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def cn_enrichment_matrix(spark: SparkSession, sf: str) -> DataFrame:
     own, _, (_, centres, _) = _cn(spark, sf, 6)
-    row = own.agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("phenotype") == p).cast("long")).alias(str(i)) for i, p in enumerate(PHENOTYPES)]).head()
-    shares = [(row[str(i)] or 0) / max(row["n"], 1) for i in range(len(PHENOTYPES))]
+    kinds = _phenotypes(own)
+    row = own.agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("phenotype") == p).cast("long")).alias(str(i)) for i, p in enumerate(kinds)]).head()
+    shares = [(row[str(i)] or 0) / max(row["n"], 1) for i in range(len(kinds))]
     made = graph.enrichment(centres, shares)
-    rows = [(c, p, v) for c, line in enumerate(made) for p, v in zip(PHENOTYPES, line)]
+    rows = [(c, p, v) for c, line in enumerate(made) for p, v in zip(kinds, line)]
     return spark.createDataFrame(rows, "cluster int, phenotype string, score double")
 
 
 @query()
 def inertia_knee(spark: SparkSession, sf: str) -> DataFrame:
     own = written(cells(spark, sf, "phenotype"), "own")
-    counts = written(graph.neighbour_counts(_edges(spark, sf), own, "cell_key", "phenotype", PHENOTYPES), "counts")
+    counts = written(graph.neighbour_counts(_edges(spark, sf), own, "cell_key", "phenotype", _phenotypes(own)), "counts")
     ks = [2, 4, 6, 8]
     cost = [graph.neighbourhoods(counts, "cell_key", k)[2] for k in ks]
     best = graph.knee(ks, cost)
@@ -213,7 +221,7 @@ def pca(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def harmony(spark: SparkSession, sf: str) -> DataFrame:
-    own = written(cells(spark, sf, "x_pca", "coord_system").where("x_pca is not null and size(x_pca) = 6 and forall(x_pca, v -> v is not null and not isnan(v))"), "own")
+    own = written(cells(spark, sf, "x_pca", "coord_system"), "own")
     return embed.harmony(own, "cell_key", "x_pca", "coord_system", 6, rounds=3).select("cell_key", "x_pca_harmony")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelattice.base import CELLS, VAR, cells
+from corelattice.base import CELLS, cells
 from corelattice.operators import image
 from corelattice.operators.proximity import disc_of_polygon, in_micrometres
 from corelattice.plans.lineage import written
@@ -29,28 +29,33 @@ def query(sql: str | None = None):
     return keep
 
 
-_CHANNELS = VAR[:3]
+_THREE = ["NUX1", "EPQ2", "STV3"]  # channels that a projection chooses
 _PIX = f"""{CELLS}, pts AS (SELECT c.image, cell_key, x, floor(x_coordinate * k)::INTEGER AS px, floor(y_coordinate * k)::INTEGER AS py FROM
 (SELECT c.*, CASE coord_system WHEN 'um' THEN 1 ELSE mpp END AS k FROM cells c JOIN tma_images i ON i.image = c.image) c WHERE x_coordinate IS NOT NULL AND y_coordinate IS NOT NULL AND x IS NOT NULL),
-pix AS (SELECT image, c, py AS y, px AS x, max(value) AS value FROM (SELECT image, py, px, unnest(['NUX1', 'EPQ2', 'STV3']) AS c, unnest(x[1:3]) AS value FROM pts) WHERE value IS NOT NULL GROUP BY ALL)"""
+pix AS (SELECT image, name AS c, py AS y, px AS x, max(value) AS value FROM (SELECT image, py, px, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS value FROM pts) JOIN marker_var USING (pos) WHERE value IS NOT NULL GROUP BY ALL)"""
 
 
 def _pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Every marker's value at every pixel that holds a cell, the greatest if it holds several."""
     own = in_micrometres(cells(spark, sf, "image", "x_coordinate", "y_coordinate", "coord_system", "x"), table(spark, sf, "tma_images"), ["x_coordinate", "y_coordinate"])
     own = own.where("x is not null and x_coordinate is not null and y_coordinate is not null")
-    values = F.arrays_zip(F.array(*[F.lit(c) for c in _CHANNELS]).alias("c"), F.slice("x", 1, len(_CHANNELS)).alias("value"))
-    flat = own.select("image", F.floor("y_coordinate").cast("int").alias("y"), F.floor("x_coordinate").cast("int").alias("x"), F.explode(values).alias("z"))
-    flat = flat.select("image", "z.c", "y", "x", "z.value").where("value is not null and not isnan(value)")
+    names = F.broadcast(table(spark, sf, "marker_var").select("pos", F.col("name").alias("c")).dropDuplicates(["pos"]))  # a row for each marker
+    flat = own.select("image", F.floor("y_coordinate").cast("int").alias("py"), F.floor("x_coordinate").cast("int").alias("px"), F.posexplode("x").alias("pos", "value"))
+    flat = flat.where("value is not null and not isnan(value)").join(names, "pos").select("image", "c", F.col("py").alias("y"), F.col("px").alias("x"), "value")
     return flat.groupBy("image", "c", "y", "x").agg(F.max("value").alias("value"))
 
 
-_CORES = """cores AS (SELECT core_id, c.image, tma_label, c.x * k AS x, c.y * k AS y, c.radius * k AS radius FROM
-(SELECT DISTINCT c.core_id, c.image, c.tma_label, c.x, c.y, c.radius, CASE coord_system WHEN 'um' THEN 1 ELSE mpp END AS k FROM cores_gdf c JOIN tma_images i ON i.image = c.image) c WHERE radius IS NOT NULL AND NOT isnan(radius))"""
+_CORES = """c0 AS (SELECT DISTINCT core_id, c.image, tma_label, x, y, CASE WHEN NOT isnan(radius) THEN radius END AS radius, circles, CASE coord_system WHEN 'um' THEN 1 ELSE mpp END AS k FROM cores_gdf c JOIN tma_images i ON i.image = c.image),
+ring AS (SELECT core_id, x, y, list_transform(regexp_extract_all(circles, '-?[0-9]+[.]?[0-9]*(?:[eE][-+]?[0-9]+)?'), lambda s: s::DOUBLE) AS n FROM c0 WHERE radius IS NULL),
+drawn AS (SELECT core_id, avg(sqrt((n[2 * i - 1] - x) ** 2 + (n[2 * i] - y) ** 2)) AS r FROM (SELECT *, unnest(range(1, (len(n) // 2)::BIGINT)) AS i FROM ring) GROUP BY 1),
+cores AS (SELECT core_id, image, tma_label, x * k AS x, y * k AS y, coalesce(radius, r) * k AS radius FROM c0 LEFT JOIN drawn USING (core_id))"""
 
 
 def _cores(spark: SparkSession, sf: str) -> DataFrame:
-    cores = table(spark, sf, "cores_gdf").select("core_id", "image", "tma_label", "x", "y", "radius", "coord_system").dropDuplicates(["core_id"])
-    return in_micrometres(cores, table(spark, sf, "tma_images"), ["x", "y", "radius"]).where("radius is not null and not isnan(radius)")
+    """Every core in micrometres; a radius that isn't given is that of the drawn outline."""
+    cores = table(spark, sf, "cores_gdf").select("core_id", "image", "tma_label", "x", "y", "radius", "coord_system", "circles").dropDuplicates(["core_id"])
+    cores = disc_of_polygon(cores, "circles", "x", "y", "radius").drop("circles")
+    return in_micrometres(cores, table(spark, sf, "tma_images"), ["x", "y", "radius"])
 
 
 @query(f"WITH {_PIX} SELECT image, 'max[NUX1_STV3]' AS c, y, x, max(value) AS value FROM pix WHERE c IN ('NUX1', 'STV3') GROUP BY ALL")
@@ -58,9 +63,9 @@ def channel_projection(spark: SparkSession, sf: str) -> DataFrame:
     return image.project(_pixels(spark, sf), ["NUX1", "STV3"], "max")
 
 
-@query(f"WITH {_PIX} SELECT image, 'median[NUX1_EPQ2_STV3]' AS c, y, x, round(median(value), 9) AS value FROM pix GROUP BY ALL")
+@query(f"WITH {_PIX} SELECT image, 'median[NUX1_EPQ2_STV3]' AS c, y, x, round(median(value), 9) AS value FROM pix WHERE c IN ('NUX1', 'EPQ2', 'STV3') GROUP BY ALL")
 def channel_projection_median(spark: SparkSession, sf: str) -> DataFrame:
-    return image.project(_pixels(spark, sf), _CHANNELS, "median").withColumn("value", F.round("value", 9))
+    return image.project(_pixels(spark, sf), _THREE, "median").withColumn("value", F.round("value", 9))
 
 
 @query(f"WITH {_PIX} SELECT image, c, y // 4 AS y, x // 4 AS x, round(avg(value), 9) AS value FROM pix GROUP BY ALL")
@@ -138,12 +143,12 @@ def expand_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def blurred_masks(spark: SparkSession, sf: str) -> DataFrame:
-    return image.masks(image.project(_pixels(spark, sf), _CHANNELS, "max"), 4.0, image.area_threshold(5.0), 1)
+    return image.masks(image.project(_pixels(spark, sf), _THREE, "max"), 4.0, image.area_threshold(5.0), 1)
 
 
 @query()
 def detect_blobs(spark: SparkSession, sf: str) -> DataFrame:
-    return image.blobs(image.pyramid(image.project(_pixels(spark, sf), _CHANNELS, "max"), 4), 5.0, 15.0)
+    return image.blobs(image.pyramid(image.project(_pixels(spark, sf), _THREE, "max"), 4), 5.0, 15.0)
 
 
 # grids of cores -------------------------------------------------------------
@@ -199,11 +204,11 @@ def deleted_shapes(spark: SparkSession, sf: str) -> DataFrame:
     return image.deleted(own, own.where("tma_label = 'A-1'"), ["image", "xmin", "ymin", "xmax", "ymax"]).select("core_id")
 
 
-@query("SELECT core_id, round(avg(radius), 6) AS radius FROM cores_gdf WHERE radius IS NOT NULL AND NOT isnan(radius) GROUP BY 1")
+@query(f"WITH {_CORES} SELECT core_id, round(r, 6) AS radius FROM drawn")
 def polygon_radius(spark: SparkSession, sf: str) -> DataFrame:
-    own = disc_of_polygon(table(spark, sf, "cores_gdf").dropDuplicates(["core_id"]), "circles", "x", "y", "radius")
-    there = table(spark, sf, "cores_gdf").where("radius is not null and not isnan(radius)").select("core_id").distinct()
-    return own.join(there, "core_id", "left_semi").select("core_id", F.round("radius", 6).alias("radius"))
+    """The radius of the drawn outline of every core without a given one."""
+    cores = table(spark, sf, "cores_gdf").where("radius is null or isnan(radius)").dropDuplicates(["core_id"])
+    return disc_of_polygon(cores, "circles", "x", "y", "radius").select("core_id", F.round("radius", 6).alias("radius"))
 
 
 # sources --------------------------------------------------------------------

@@ -44,12 +44,13 @@ def harmony(df: DataFrame, key: str, basis: str, batch: str, width: int, cluster
     its share, then a ridge regression on batches within each cluster whose batch
     terms are subtracted.  Each round is one pass: partial sums by partition
     (clusters x batches x width numbers) are added up, so what reaches the driver
-    does not grow with the rows.  Rows with a NULL embedding or batch keep their
-    embedding.
+    does not grow with the rows.  Rows with a NULL batch, or an embedding that is
+    NULL, of another width or has missing values, keep their embedding.
     """
     import pandas as pd
 
-    d = df.where(F.col(basis).isNotNull() & F.col(batch).isNotNull())
+    whole = (F.size(basis) == width) & F.forall(basis, lambda v: v.isNotNull() & ~F.isnan(v))
+    d = df.where(F.coalesce(whole, F.lit(False)) & F.col(batch).isNotNull())
     batches = [r[0] for r in d.select(batch).distinct().orderBy(batch).collect()]  # one row for each batch
     number = {b: i for i, b in enumerate(batches)}
     first = d.orderBy(F.xxhash64(key, F.lit(seed))).limit(20_000).select(basis).toPandas()[basis]  # start of the centres only

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelattice.operators.markers import marker
+from corelattice.operators.quantiles import quantiles
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -51,14 +52,13 @@ def by_value(df: DataFrame, column: str, low: float | None = 10, high: float | N
 def by_quantile(df: DataFrame, column: str, low: float | None = 0.1, high: float | None = 0.95) -> DataFrame:
     """Rows between two quantiles, both taken from all rows (linear interpolation)."""
     v = _number(df, column)
-    stats = df.agg(*[F.percentile(v, F.lit(q)).alias(c) for q, c in ((low, "__lo"), (high, "__hi")) if q is not None])
-    out = df.crossJoin(F.broadcast(stats))  # one row
+    wanted = [q for q in (low, high) if q is not None]
+    at = dict(zip(wanted, quantiles(df, [v], wanted)[0]))
     keep = v.isNotNull()
-    if low is not None:
-        keep &= v > F.col("__lo")
-    if high is not None:
-        keep &= v < F.col("__hi")
-    return out.where(keep).drop("__lo", "__hi")
+    for q, passed in ((low, lambda t: v > F.lit(t)), (high, lambda t: v < F.lit(t))):
+        if q is not None:  # without any value there is no bound, and no row either
+            keep &= passed(at[q]) if at[q] is not None else F.lit(False)
+    return df.where(keep)
 
 
 def by_marker_value(df: DataFrame, x: str, i: int, low: float | None = 1, high: float | None = 254) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corelattice.operators.quantiles import quantiles
+
 
 def marker(x: str, i: int) -> Column:
     """The value at position ``i``, NULL where missing."""
@@ -84,14 +86,16 @@ def scale_columns(df: DataFrame, x: str, n: int, out: str | None = None) -> Data
 def percentile_normalise(df: DataFrame, x: str, n: int, percentile: float = 95.0, out: str | None = None) -> DataFrame:
     """Per marker: (v - min) / (P - min), missing as 0; a denominator of 0 is 1.  No upper bound."""
     filled = [F.coalesce(marker(x, i), F.lit(0.0)) for i in range(n)]
-    stats = [F.array(*[F.min(v) for v in filled]).alias("__l"), F.array(*[F.percentile(v, F.lit(percentile / 100)) for v in filled]).alias("__h")]
-    d = _with_stats(df.where(F.col(x).isNotNull()), stats)
+    d = df.where(F.col(x).isNotNull())
+    bounds = quantiles(d, filled, [0.0, percentile / 100])
 
     def fn(v: Column, i: int) -> Column:
-        wide = F.col("__h")[i] - F.col("__l")[i]
-        return (F.coalesce(v, F.lit(0.0)) - F.col("__l")[i]) / F.when(wide == 0, 1.0).otherwise(wide)
+        low, high = bounds[i]
+        if low is None:
+            return F.lit(None).cast("double")
+        return (F.coalesce(v, F.lit(0.0)) - F.lit(low)) / F.lit(1.0 if high == low else high - low)
 
-    return _rebuilt(d, x, n, fn, out).drop("__l", "__h")
+    return _rebuilt(d, x, n, fn, out)
 
 
 def normalise_log2p(df: DataFrame, x: str, n: int, pseudocount: float = 1e-3, out: str | None = None) -> DataFrame:
