@@ -11,6 +11,7 @@ from corelattice.llm import abuse_queries, cluster_queries, mixing, packing, per
 from corelattice.llm.cells import current_cells
 from corelattice.operators.current import plain_text
 from corelattice.plans.lineage import written
+from corelattice.plans.ranks import numbered
 from corelattice.sources.tables import table
 
 MARKERS = 16
@@ -61,8 +62,8 @@ def _phenotypes(cells: DataFrame) -> DataFrame:
     """``plain``, ``phenotype`` (the commonest spelling, ties by name) and a number for each."""
     seen = cells.where("plain is not null").groupBy("plain", F.trim("phenotype").alias("phenotype")).count()
     best = seen.withColumn("r", F.row_number().over(Window.partitionBy("plain").orderBy(F.desc("count"), "phenotype"))).where("r = 1")
-    # numbered in the order of the names: one row for each phenotype
-    return best.select("plain", "phenotype", (F.row_number().over(Window.orderBy("phenotype")) - 1).cast("long").alias("number"))
+    # numbered in the order of the names
+    return numbered(best.select("plain", "phenotype"), ["phenotype", "plain"], "number")
 
 
 def _joined_phenotypes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RUN = 1 << 20  # codes of one sorted run
@@ -103,7 +103,7 @@ def association(counts: DataFrame) -> DataFrame:
     ends = counts.select("grp", F.col("a").alias("item"), F.when(F.col("a") == F.col("b"), 2 * F.col("n")).otherwise(F.col("n")).alias("d"))
     ends = ends.unionByName(counts.where("a <> b").select("grp", F.col("b").alias("item"), F.col("n").alias("d")))
     ends = ends.groupBy("grp", "item").agg(F.sum("d").alias("d"))
-    out = counts.withColumn("m", F.sum("n").over(Window.partitionBy("grp")))
+    out = counts.join(counts.groupBy("grp").agg(F.sum("n").alias("m")), "grp")
     out = out.join(ends.select("grp", F.col("item").alias("a"), F.col("d").alias("d_a")), ["grp", "a"])
     out = out.join(ends.select("grp", F.col("item").alias("b"), F.col("d").alias("d_b")), ["grp", "b"])
     n, m, da, db = (F.col(c).cast("double") for c in ("n", "m", "d_a", "d_b"))
