@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corelattice.functions.modularity import communities, connected, modularity, relabel_by_size
 from corelattice.operators.graph import jaccard, with_isolated
 from corelattice.plans.lineage import written
+from corelattice.plans.ranks import numbered
 
 LINKS_IN_TASK = 4_000_000  # links that one task clusters; above that, levels are parallel
 
@@ -57,7 +58,7 @@ def _numbered(edges: DataFrame, sizes: DataFrame, r: float, least: int) -> DataF
     degree = ends.groupBy("node").agg(F.sum("w").alias("k")).agg(F.sum("k").alias("all2"), F.sum(F.col("k") * F.col("k")).alias("squares")).head()
     inside = edges.where("a = b").agg(F.sum("w")).head()[0] or 0.0
     q = 2 * inside / degree.all2 - r * degree.squares / degree.all2**2 if degree.all2 else 0.0
-    large = sizes.where(F.col("n") > least).select("top", (F.row_number().over(Window.orderBy(F.desc("n"), "top")) - 1).alias("label"))
+    large = numbered(sizes.where(F.col("n") > least), [F.desc("n"), "top"], "label").select("top", "label")
     out = sizes.join(large, "top", "left")
     return out.select(F.col("top").alias("node"), F.coalesce("label", F.lit(-1)).cast("int").alias("label"), F.lit(float(q)).alias("quality"))
 

@@ -46,20 +46,40 @@ def walk(nodes: DataFrame, start: str) -> DataFrame:
 
     ``nodes`` has ``node`` and ``parent`` (NULL at the root) and must be a tree.
     """
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("__nodes")
-    return spark.sql(
-        f"""
+    return nodes.sparkSession.sql(
+        """
         WITH RECURSIVE t(node, parent, depth, path) AS (
-          SELECT node, parent, 0, node FROM __nodes WHERE node = '{start}'
+          SELECT node, parent, 0, node FROM {nodes} WHERE node = :start
           UNION ALL
-          SELECT n.node, n.parent, t.depth + 1, concat(t.path, '/', n.node) FROM __nodes n JOIN t ON n.parent = t.node)
+          SELECT n.node, n.parent, t.depth + 1, concat(t.path, '/', n.node) FROM {nodes} n JOIN t ON n.parent = t.node)
         SELECT t.node, t.parent, t.depth, t.path, p.parent IS NULL AS terminal
-        FROM t LEFT JOIN (SELECT DISTINCT parent FROM __nodes) p ON t.node = p.parent
-        """
+        FROM t LEFT JOIN (SELECT DISTINCT parent FROM {nodes}) p ON t.node = p.parent
+        """,
+        args={"start": start}, nodes=nodes,
     )
 
 
+def absorb_upwards(tables: dict[str, DataFrame], parents: dict[str, str | None], node: str, key: str, columns: list[str]) -> dict[str, DataFrame]:
+    """``tables`` with ``columns`` of ``node`` absorbed by every node above it, up to the root.
+
+    Each ancestor takes the values of the node itself, as the nodes between hold
+    no more of its rows.  A column that an ancestor lacks is added.  A cycle or a
+    node without a table raises.
+    """
+    out, at, seen = dict(tables), parents.get(node), {node}
+    while at is not None:
+        if at in seen:
+            raise ValueError(f"{at} is above itself")
+        seen.add(at)
+        up = out[at]
+        for c in columns:
+            if c not in up.columns:
+                up = up.withColumn(c, F.lit(None).cast(tables[node].schema[c].dataType))
+        out[at] = absorb(up, tables[node], key, columns)
+        at = parents.get(at)
+    return out
+
+
 def subset_node(parent: str, column: str, values: list[str]) -> str:
     """Name of the node that a sub-clustering makes."""
     return f"{parent}_subset_{column}_" + "_".join(values)

@@ -46,8 +46,9 @@ def quantiles(df: DataFrame, columns: list[Column], qs: list[float]) -> list[lis
             v = F.col(names[i])
             low, high = max(a, -1.7e308), min(b, 1.7e308)
             # halves, as the width itself may not be a number
-            bin_ = F.least(F.floor((v / 2 - F.lit(low / 2)) / F.lit((high / 2 - low / 2) / BINS or 5e-324)), F.lit(BINS - 1)).cast("int")
-            marks.append(F.when((v >= F.lit(a)) & (v <= F.lit(b)), F.struct(F.lit(j).alias("j"), F.greatest(bin_, F.lit(0)).alias("bin"), v.alias("v"))))
+            bin_ = (v / 2 - F.lit(low / 2)) / F.lit((high / 2 - low / 2) / BINS or 5e-324)
+            bin_ = F.floor(F.least(F.greatest(bin_, F.lit(0.0)), F.lit(BINS - 1.0))).cast("int")
+            marks.append(F.when((v >= F.lit(a)) & (v <= F.lit(b)), F.struct(F.lit(j).alias("j"), bin_.alias("bin"), v.alias("v"))))
         flat = d.select(F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m")).select("m.*")
         got = flat.groupBy("j", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()  # BINS a span, at most
         bins: dict[int, list] = {}

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelattice.functions.special import normal_two_sided, t_pvalue, u_exact_table
+from corelattice.plans.ranks import summed_before
 
 
 def moments(df: DataFrame, feature: str, label: str, by: list[str] | None = None) -> DataFrame:
@@ -57,8 +58,7 @@ def mann_whitney(df: DataFrame, feature: str, label: str) -> DataFrame:
     two = d.agg(F.min("l").alias("l1"), F.max("l").alias("l2"), F.count_distinct("l").alias("n"))
     d = d.crossJoin(F.broadcast(two)).where("n = 2")  # one row
     per = d.groupBy("v").agg(F.sum((F.col("l") == F.col("l1")).cast("double")).alias("a"), F.count(F.lit(1)).cast("double").alias("t"), F.max("l1").alias("label1"), F.max("l2").alias("label2"))
-    before = F.sum("t").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
-    per = per.withColumn("rank", before + (F.col("t") + 1) / 2)
+    per = summed_before(per, ["v"], "t", "before").withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     s = per.groupBy("label1", "label2").agg(F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum("a").alias("n1"), F.sum("t").alias("n"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
     s = s.withColumn("u", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).withColumn("n2", F.col("n") - F.col("n1"))
 

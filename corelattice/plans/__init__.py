@@ -1 +1 @@
-"""Plan-level helpers: lineage cutting, size checks, salting."""
+"""Plan-level helpers: lineage cutting, size checks, row numbers."""

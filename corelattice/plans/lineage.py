@@ -47,13 +47,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` after making sure that a shared folder is set."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()

@@ -37,7 +37,10 @@ class Store:
         return dict(sorted(f.rsplit("@", 1) for f in found if "@" in f and not f.startswith(("_", "."))))
 
     def put(self, name: str, df: DataFrame, kind: str = "table", overwrite: bool = False, partition_by: list[str] | None = None) -> str:
-        """Write an element; an existing name raises unless ``overwrite``."""
+        """Write an element; an existing name raises unless ``overwrite``.
+
+        The old element is set aside until the new one is in place.
+        """
         if kind not in KINDS:
             raise ValueError(f"unknown kind {kind}")
         at = self._at(name)
@@ -47,10 +50,15 @@ class Store:
         made = f"{self.folder}/_{name}-{uuid.uuid4().hex}"
         writer = df.write.mode("error")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(made)
-        if old is not None:
-            self._fs.delete(self._path(f"{at}@{old}"), True)
+        aside = self._path(f"{self.folder}/_old-{name}-{uuid.uuid4().hex}")
+        if old is not None and not self._fs.rename(self._path(f"{at}@{old}"), aside):
+            raise OSError(f"cannot move {at} aside")
         if not self._fs.rename(self._path(made), self._path(f"{at}@{kind}")):
+            if old is not None:  # as it was
+                self._fs.rename(aside, self._path(f"{at}@{old}"))
             raise OSError(f"cannot move {made} to {at}")
+        if old is not None:
+            self._fs.delete(aside, True)
         return name
 
     def get(self, name: str) -> DataFrame:

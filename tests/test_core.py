@@ -14,6 +14,8 @@ from corelattice.operators import aggregate as A
 from corelattice.operators import cluster, embed, evaluate, filters, graph, image, markers, metadata, stats, survival
 from corelattice.operators.current import current_rows
 from corelattice.operators.proximity import disc_of_polygon, inside_discs, inside_polygons, near_pairs, vertices
+from corelattice.operators.quantiles import quantiles
+from corelattice.plans.ranks import numbered, summed_before
 from corelattice.sources import store
 
 
@@ -380,3 +382,41 @@ def test_store(spark, tmp_path):
     (tmp_path / "m.csv").write_text("id,v,w\na,1,x\nb,,2\n")
     assert dict(store.read_metadata_csv(spark, str(tmp_path / "m.csv")).dtypes) == {"id": "string", "v": "double", "w": "string"}
     assert store.plain_name("/x/My-image 1.ome.tif") == "My_image_1" and store.channel_names(["a", "b", "a"]) == ["a_0", "b", "a_1"]
+
+
+def test_numbers_and_sums_over_a_whole_table(spark):
+    rng = random.Random(5)
+    v = [(i, float(rng.randrange(40))) for i in range(300)]
+    d = spark.createDataFrame(v, "k long, v double").repartition(3)
+    order = sorted(v, key=lambda r: (r[1], r[0]))
+    got = {r.k: r.n for r in numbered(d, ["v", "k"], "n").collect()}
+    assert [got[k] for k, _ in order] == list(range(300))
+    got = {r.k: r.s for r in summed_before(d, ["v", "k"], "v", "s").collect()}
+    assert all(abs(got[k] - sum(x for _, x in order[:i])) < 1e-9 for i, (k, _) in enumerate(order))
+    assert numbered(d.limit(0), ["k"], "n").count() == summed_before(d.limit(0), ["k"], "v", "s").count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(6)
+    a = [None if i % 17 == 0 else float("nan") if i % 19 == 0 else rng.choice([0.0, 1.0, rng.lognormvariate(0, 5), -rng.random()]) for i in range(2000)]
+    d = spark.createDataFrame([(x, 3.0, None, i) for i, x in enumerate(a)], "a double, b double, c double, i long")
+    qs = [0.0, 0.1, 0.5, 0.95, 1.0]
+    got = quantiles(d, [F.col(c) for c in "abci"], qs)
+    clean = np.array([x for x in a if x is not None and x == x])
+    assert np.allclose(got[0], np.quantile(clean, qs), rtol=1e-12) and got[1] == [3.0] * 5 and got[2] == [None] * 5
+    assert np.allclose(got[3], np.quantile(np.arange(2000), qs))
+    ends = spark.createDataFrame([(float("-inf"),), (1.0,), (float("inf"),), (2.0,), (2.0,)], "v double")
+    assert quantiles(ends, [F.col("v")], [0.0, 0.5, 1.0]) == [[float("-inf"), 2.0, float("inf")]]
+    assert quantiles(d.limit(0), [F.col("a")], [0.5]) == [[None]] and quantiles(d, [], [0.5]) == []
+
+
+def test_values_go_up_to_every_ancestor(spark):
+    rows_ = [(i, "old" if i < 3 else None) for i in range(6)]
+    root = spark.createDataFrame(rows_, "k long, kind string")
+    mid, leaf = root.where("k < 4"), spark.createDataFrame([(0, "new", 1.5), (1, "nan", 2.5)], "k long, kind string, extra double")
+    out = metadata.absorb_upwards({"r": root, "m": mid, "l": leaf}, {"l": "m", "m": "r", "r": None}, "l", "k", ["kind", "extra"])
+    assert rows(out["r"], "k", "kind", "extra")[:3] == [(0, "new", 1.5), (1, "old", 2.5), (2, "old", None)] and out["m"].count() == 4
+    with pytest.raises(ValueError):
+        metadata.absorb_upwards({"r": root, "m": mid}, {"m": "r", "r": "m"}, "m", "k", ["kind"])
+    tree = spark.createDataFrame([("r", None), ("it's", "r"), ("l", "it's")], "node string, parent string")
+    assert rows(metadata.walk(tree, "it's"), "node", "depth", "terminal") == [("it's", 0, False), ("l", 1, True)]
