@@ -20,7 +20,16 @@ mm AS (SELECT sample_id, sum(n) AS m FROM n GROUP BY 1),
 assoc AS (SELECT n.sample_id, pa AS phenotype_a, pb AS phenotype_b, n.n::BIGINT AS n, m::BIGINT AS m, da.d::BIGINT AS d_a, db.d::BIGINT AS d_b
           FROM n JOIN mm USING (sample_id) JOIN d da ON da.sample_id = n.sample_id AND da.p = pa JOIN d db ON db.sample_id = n.sample_id AND db.p = pb)"""
 
+# every pair of profiles, marker by marker: for tables that fit a brute-force check
+_TERMS = " + ".join(f"coalesce((a.v{i} - b.v{i}) ** 2, 0)" for i in range(1, 17))
+_PLACES = ", ".join(f"CASE WHEN x[{i}] > -1 AND NOT isnan(x[{i}]) THEN ln(1 + x[{i}]) END AS v{i}" for i in range(1, 17))
+NEAREST = f"""{CURRENT},
+p AS (SELECT * FROM (SELECT cell_key, {_PLACES} FROM cur WHERE x IS NOT NULL) WHERE coalesce({", ".join(f"v{i}" for i in range(1, 17))}) IS NOT NULL),
+d AS (SELECT a.cell_key AS src, b.cell_key AS dst, {_TERMS} AS d2 FROM p a JOIN p b ON a.cell_key <> b.cell_key WHERE {_TERMS} <= 0.06::DOUBLE ** 2),
+near AS (SELECT src, dst FROM d QUALIFY row_number() OVER (PARTITION BY src ORDER BY d2, dst) <= 5)"""
+
 ORACLE = {
+    "p5_found": f"WITH {NEAREST} SELECT DISTINCT least(src, dst) AS key_a, greatest(src, dst) AS key_b FROM near",
     "p3_found": f"""WITH {VALUES}
 SELECT sample_id, name AS marker FROM (SELECT sample_id, pos, median(v) AS med FROM vals GROUP BY ALL) JOIN marker_var USING (pos)
 WHERE med > 2 * expected_median OR med < 0.5 * expected_median""",
@@ -35,6 +44,16 @@ SELECT sample_id, phenotype_a, phenotype_b, n, m, d_a, d_b,
        round(CASE WHEN phenotype_a = phenotype_b THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END * m * n / (d_a::DOUBLE * d_b), 6) AS lift, round(o, 6) AS odds_ratio, round(ln(o), 6) AS log_odds FROM r""",
     "p6_found": f"""WITH s AS (SELECT doc_id, {TOKENS} AS size FROM documents)
 SELECT doc_id, unnest(range(1, 1 + ceil(size / 1024.0)::BIGINT)) AS piece_no FROM s WHERE size > 1024""",
+    "p6_fill_totals": f"""WITH s AS (SELECT {TOKENS} AS size FROM documents) SELECT sum(size)::BIGINT AS tokens, sum(ceil(size / 1024.0))::BIGINT AS pieces, 0::BIGINT AS overfull FROM s WHERE size > 0""",
+    "p3_merged_error": f"""WITH {VALUES} SELECT 5 * count(*) AS percentiles, 0::BIGINT AS off FROM (SELECT DISTINCT sample_id, pos FROM vals JOIN marker_var USING (pos))""",
+    # seats one by one by the highest quotients; no source beyond its cap
+    "p7_quotas": f"""WITH s AS (SELECT regexp_replace(lower(trim(source)), '\\s+', ' ', 'g') AS s, {TOKENS} AS size FROM documents),
+w AS (SELECT s, count(*) AS pages, sum(size)::BIGINT AS w FROM s GROUP BY 1), seats AS (SELECT sum(size)::BIGINT // 1024 AS n FROM s),
+g AS (SELECT source, lower(source) AS s, target_share, max_repeats, coalesce(pages, 0) AS pages, coalesce(w, 0) AS available, coalesce(w, 0) * max_repeats AS capacity FROM mix_targets LEFT JOIN w ON w.s = lower(source)),
+q AS (SELECT g.*, j, target_share / (2 * j + 1) AS quotient FROM (SELECT g.*, unnest(range(0, (SELECT n FROM seats))) AS j FROM g WHERE target_share > 0) g),
+capped AS (SELECT s, count(*) AS blocks FROM (SELECT s FROM q WHERE j < ceil(capacity / 1024.0) ORDER BY quotient DESC, s LIMIT (SELECT n FROM seats)) GROUP BY 1),
+free AS (SELECT s, count(*) AS uncapped FROM (SELECT s FROM q ORDER BY quotient DESC, s LIMIT (SELECT n FROM seats)) GROUP BY 1)
+SELECT source, pages, available, capacity::BIGINT AS capacity, coalesce(blocks, 0) AS blocks, coalesce(uncapped, 0) AS uncapped FROM g LEFT JOIN capped USING (s) LEFT JOIN free USING (s)""",
     "p7_found": f"""WITH s AS (SELECT regexp_replace(lower(trim(source)), '\\s+', ' ', 'g') AS s, {TOKENS} AS size FROM documents),
 g AS (SELECT s, sum(size) AS w FROM s GROUP BY 1)
 SELECT source FROM mix_targets LEFT JOIN g ON s = lower(source)

@@ -12,6 +12,7 @@ from corelattice.llm.cells import current_cells
 from corelattice.operators.current import plain_text
 from corelattice.plans.lineage import written
 from corelattice.plans.ranks import numbered
+from corelattice.plans.sizes import broadcast_if_small
 from corelattice.sources.tables import table
 
 MARKERS = 16
@@ -55,6 +56,18 @@ def p3_merged(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("grp").alias("sample_id"), "marker", F.col("total").alias("n"), "percent", "value")
 
 
+def p3_merged_error(spark: SparkSession, sf: str) -> DataFrame:
+    """How many of the merged percentiles are off by more than 1 % of the values in rank, by counting all values."""
+    merged = written(p3_merged(spark, sf), "merged")
+    cells = current_cells(spark, sf, ["sample_id", "x"]).where("sample_id is not null and x is not null")
+    flat = cells.select("sample_id", F.posexplode("x").alias("pos", "v")).where("v is not null and not isnan(v)").join(_markers(spark, sf), "pos")
+    met = flat.join(broadcast_if_small(merged.select("sample_id", "marker", "n", "percent", "value")), ["sample_id", "marker"])
+    seen = met.groupBy("sample_id", "marker", "percent", "n").agg(F.sum((F.col("v") < F.col("value")).cast("long")).alias("below"), F.sum((F.col("v") <= F.col("value")).cast("long")).alias("upto"))
+    rank = F.col("percent") / 100 * (F.col("n") - 1)
+    off = F.greatest(F.col("below") - rank, rank - F.col("upto"), F.lit(0.0)) > 0.01 * F.col("n")
+    return seen.agg(F.count(F.lit(1)).alias("percentiles"), F.sum(off.cast("long")).alias("off"))
+
+
 # problem 4 ------------------------------------------------------------------
 
 
@@ -121,6 +134,13 @@ def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(p6_packing(spark, sf), CAPACITY)
 
 
+def p6_fill_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold whatever the containers: every token in one, a page in no more pieces than it needs, none overfull."""
+    pieces = written(p6_packing(spark, sf), "pieces")
+    over = pieces.groupBy("bin").agg(F.sum("piece_size").alias("t")).agg(F.sum((F.col("t") > CAPACITY).cast("long")).alias("overfull"))
+    return pieces.agg(F.sum("piece_size").alias("tokens"), F.count(F.lit(1)).alias("pieces")).crossJoin(F.broadcast(over))  # one row
+
+
 # problem 7 ------------------------------------------------------------------
 
 
@@ -143,12 +163,17 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1].where("short and drawn < wanted").select("source")
 
 
+def p7_quotas(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks apportioned to each source, and what they would be if repeats had no bound."""
+    return _mix(spark, sf)[1].select("source", "pages", "available", "capacity", "blocks", "uncapped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **cluster_queries.QUERIES,
-    "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_merged": p3_merged,
+    "p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_merged": p3_merged, "p3_merged_error": p3_merged_error,
     "p4_found": p4_found, "p4_pairs": p4_pairs,
     **vector_queries.QUERIES,
-    "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill,
-    "p7_found": p7_found, "p7_draw": p7_draw, "p7_shares": p7_shares,
+    "p6_found": p6_found, "p6_packing": p6_packing, "p6_fill": p6_fill, "p6_fill_totals": p6_fill_totals,
+    "p7_found": p7_found, "p7_draw": p7_draw, "p7_shares": p7_shares, "p7_quotas": p7_quotas,
     **abuse_queries.QUERIES,
 }
