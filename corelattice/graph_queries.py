@@ -166,7 +166,11 @@ def knn_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return graph.nearest_vectors(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 10).withColumn("distance", F.round("distance", 5))
 
 
-@query()
+@query(
+    """WITH v AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda e: e::DOUBLE ** 2))) AS len FROM embeddings),
+d AS (SELECT a.vec_id AS src, b.vec_id AS dst, 1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (a.len * b.len) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0)
+SELECT src, dst, round(distance, 5) AS distance, rank FROM (SELECT *, (row_number() OVER (PARTITION BY src ORDER BY distance, dst))::INTEGER AS rank FROM d) WHERE rank <= 10"""
+)
 def knn_embedding_cosine(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
     return graph.nearest_vectors(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 10, "cosine").withColumn("distance", F.round("distance", 5))

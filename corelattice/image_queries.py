@@ -175,11 +175,20 @@ def grid_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return image.gap_walk(_cores(spark, sf), "image", "y", 45.0).withColumn("centre", F.round("centre", 8))
 
 
-@query()
+@query(
+    f"""WITH {_CORES}, {_LINES.format(v='y')}, gy AS (SELECT image, line AS row, avg(y) AS gy FROM k GROUP BY ALL),
+{_LINES.format(v='x').replace('l AS', 'lx AS').replace('FROM l WINDOW', 'FROM lx WINDOW').replace('k AS', 'kx AS').replace('FROM l)', 'FROM lx)')}, gx AS (SELECT image, line AS col, avg(x) AS gx FROM kx GROUP BY ALL),
+g AS (SELECT image, gx, gy, CASE WHEN row >= 26 THEN chr((64 + row // 26)::INTEGER) ELSE '' END || chr((65 + row % 26)::INTEGER) || '-' || (col + 1)::VARCHAR AS label FROM gy JOIN gx USING (image)),
+d AS (SELECT image, core_id, x, y, avg(radius) OVER (PARTITION BY image) AS r FROM cores),
+m AS (SELECT g.image, label, core_id, sqrt((gx - x) ** 2 + (gy - y) ** 2) AS distance FROM g JOIN d ON d.image = g.image WHERE sqrt((gx - x) ** 2 + (gy - y) ** 2) <= 1.25::DOUBLE * r),
+a AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY image, label ORDER BY distance, core_id) = 1),
+b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY image, core_id ORDER BY distance, label) = 1)
+SELECT image, label, core_id, round(distance, 8) AS distance FROM g LEFT JOIN b USING (image, label)"""
+)
 def dearray(spark: SparkSession, sf: str) -> DataFrame:
     own = written(_cores(spark, sf), "cores")
     grid = image.grid_points(image.gap_walk(own, "image", "y", 45.0), image.gap_walk(own, "image", "x", 45.0), "image")
-    return image.match_grid(grid, own, "image", "core_id", "x", "y", "radius")
+    return image.match_grid(grid, own, "image", "core_id", "x", "y", "radius").withColumn("distance", F.round("distance", 8))
 
 
 @query(f"WITH {_CORES} SELECT a.image, a.core_id AS a, b.core_id AS b FROM cores a JOIN cores b ON a.image = b.image AND a.core_id < b.core_id WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < a.radius + b.radius")

@@ -60,7 +60,9 @@ def nearest_in_group(points: DataFrame, group: str, key: str, x: str, y: str, k:
     while True:
         # the disc's own radius and the bound of all points of its group
         met = inside_discs(pts, open_.withColumn("r", F.lit(float(r))), "g", "k", "x", "y", "k", "x", "y", "r")
-        met = met.where("key_a <> key_b").groupBy("key_b").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "key_a"))), 1, k).alias("near"))
+        # the k best are kept task by task before they meet, so no list is longer
+        met = met.where("key_a <> key_b").withColumn("__r", F.row_number().over(Window.partitionBy("key_b").orderBy("distance", "key_a"))).where(F.col("__r") <= k)
+        met = met.groupBy("key_b").agg(F.array_sort(F.collect_list(F.struct("distance", "key_a"))).alias("near"))
         state = open_.join(met.withColumnRenamed("key_b", "k"), "k", "left").join(boxes.select("g", "diameter"), "g")
         state = written(state.withColumn("ready", (F.coalesce(F.size("near"), F.lit(0)) >= k) | (F.col("diameter") <= r)), "near")
         ready = state.where("ready and near is not null").select("k", "near")
