@@ -3,10 +3,13 @@
 Centres fitted on a bounded sample part the rows into cells; every row is in the
 cell of its nearest centre and visits each further cell whose border it is as
 near to as near neighbours are to each other, so that a row finds its neighbours
-across the borders.  The width of that strip is read off the sample.  In each
-cell neighbour descent gives the lists of the cell's own rows; a first level of
-modularity moves turns these rows into small communities.  Links to rows that
-are visiting are added up between the communities after a join on the visitor.
+across the borders.  The width of that strip is read off the neighbours that a
+few rows of the sample have in the whole table.  In each cell neighbour descent
+gives the lists of the cell's own rows.  The visitors then come by, one cell
+after another, and are compared with the own rows near the same border, so that a task holds one cell and the visitors from one other, however
+many visit.  A first level of modularity moves turns the own rows into small
+communities.  Links to visitors are added up between the communities after a
+join on the visitor.
 What is left is the contracted graph of the whole table.  It is contracted
 further by joins until a machine can hold it, and brought to communities there.
 
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corelattice.functions.modularity import communities, modularity
@@ -43,7 +46,11 @@ SAMPLE = 65_536  # rows that the centres are fitted on, at most
 CELL = 65_536  # rows of a cell, about
 FEW, LITTLE = 32, 4096  # cells of fewer rows, for side by side work, down to LITTLE rows, while they are no more than FEW
 PER_CENTRE = 16  # rows of the sample for a centre, at least
-REACHED = 0.95  # share of the sample's nearest pairs that the strip along the borders is to hold
+REACHED = 0.95  # share of the near neighbours that the strip along the borders is to hold
+OWN = 1.5  # own rows so many times the strip's width from a border are compared with those who visit across it
+ASKED = 256  # rows of the sample whose neighbours in the whole table are looked up for that
+_PAIRS = 1 << 21  # pairs of own rows and visitors compared at a time
+_HITS = 1 << 20  # candidates held at a time
 HOT = 32  # a vector that is so often in the sample is dealt by hash besides
 RESOLUTION = 1.0
 SHARE, STRETCH = 0.005, 1.4
@@ -72,6 +79,7 @@ class Cells:
         self.half = (c * c).sum(1) / 2
         self.apart = np.sqrt(np.maximum(2 * (self.half[:, None] + self.half - c @ c.T), 1e-12))
         whole, seen = np.unique(x, axis=0, return_counts=True)
+        self.asked = whole[rng.permutation(len(whole))[:ASKED]] if len(c) > 1 else whole[:0]
         self.strip = 0.0
         if len(c) > 1 and len(whole) > 1:
             few = rng.permutation(len(whole))[:2048]
@@ -81,11 +89,16 @@ class Cells:
                 d = _distances(whole[few[i : i + 64]], whole)
                 d[np.arange(len(d)), few[i : i + 64]] = np.inf
                 near.append(np.argpartition(d, rank - 1, axis=1)[:, :rank].flatten())  # a copy, which does not hold the rest
-            near = np.concatenate(near)
-            behind = self._behind(whole[near])[np.arange(len(near)), np.repeat(nearest(whole[few], c), rank)]
-            self.strip = float(np.quantile(behind, REACHED)) + 1e-6
+            self.reach(np.repeat(whole[few], rank, axis=0), whole[np.concatenate(near)])
         self.hot = {v.tobytes(): (i, max(1, int(m / len(x) * n / CELL))) for i, (v, m) in enumerate(zip(whole[seen >= HOT], seen[seen >= HOT]))}
 
+    def reach(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Sets the strip by near neighbours ``b`` of rows ``a``."""
+        if len(a):
+            own = nearest(a, self.centres)
+            behind = [self._behind(b[i : i + 4096])[np.arange(len(b[i : i + 4096])), own[i : i + 4096]] for i in range(0, len(a), 4096)]
+            self.strip = float(np.quantile(np.concatenate(behind), REACHED)) + 1e-6
+
     def _behind(self, x: np.ndarray) -> np.ndarray:
         """How far each row lies behind each cell's border; 0 in its own cell."""
         d = self.half - x @ self.centres.T
@@ -133,12 +146,12 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The whole cells of a stream sorted by ``cell``."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each ``place`` of a stream sorted by it."""
     held: list[pa.RecordBatch] = []
     last = None
     for t in batches:
-        v = t["cell"].to_numpy()
+        v = t["place"].to_numpy()
         cuts = [0, *(np.flatnonzero(v[1:] != v[:-1]) + 1), len(v)] if len(v) else [0]
         for a, b in zip(cuts, cuts[1:]):
             if held and v[a] != last:
@@ -150,6 +163,44 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _best(of: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` least ``d`` of each ``of``: where they are, by ``of`` and ``d``, and their ranks."""
+    by = np.lexsort((d, of))
+    first = np.flatnonzero(np.r_[True, of[by][1:] != of[by][:-1]]) if len(by) else np.empty(0, np.int64)
+    rank = np.arange(len(by)) - np.repeat(first, np.diff(np.r_[first, len(by)]))
+    return by[rank < k], rank[rank < k]
+
+
+def _neighbours(df: DataFrame, asked: np.ndarray, centres: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ``asked`` rows and their nearest of all rows that are no copies of theirs."""
+    sq = (asked * asked).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, d, v = np.empty(0, np.int64), np.empty(0, np.float32), np.empty((0, width), np.float32)
+        far = np.full(len(asked), np.inf, np.float32)
+        for t in batches:
+            every = filled(unpacked(t["v"], width), centres)
+            for a in range(0, len(every), 4096):
+                x = every[a : a + 4096]
+                i, j = np.nonzero((x * x).sum(1) - 2 * asked @ x.T < (far * 1.0001 + 1e-3 - sq)[:, None])
+                if not len(i):
+                    continue
+                exact = ((asked[i] - x[j]) ** 2).sum(1)
+                good = (exact > 0) & (exact < far[i])
+                q, d, v = np.r_[q, i[good]], np.r_[d, exact[good]], np.concatenate([v, x[j[good]]])
+                by = np.lexsort((d, q))
+                by = by[np.r_[True, (q[by][1:] != q[by][:-1]) | (d[by][1:] != d[by][:-1])]] if len(by) else by  # copies count once
+                at, rank = _best(q[by], d[by], descent.LINKS)
+                q, d, v = q[by][at], d[by][at], v[by][at]
+                far[q[rank == descent.LINKS - 1]] = d[rank == descent.LINKS - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(d), packed(v)], ["q", "d", "v"])
+
+    near = df.select("v").mapInArrow(run, "q long, d float, v binary").dropDuplicates(["q", "d"])
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d"))).where(F.col("r") <= descent.LINKS)
+    got = near.orderBy("q", "d").select("q", "v").toArrow()  # LINKS for each row asked, at most
+    return asked[got["q"].to_numpy()], unpacked(got["v"], width)
+
+
 def _sums(a: np.ndarray, b: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Values added up by pair."""
     order = np.lexsort((b, a))
@@ -170,40 +221,84 @@ def _degrees(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, com: np.ndarra
 
 
 class _Graph:
-    """The graph of one cell: the links ``a``, ``b`` that its own rows have, and their first communities.
+    """The graph of one cell: the neighbours of its own rows, there and among the visitors.
 
     A link weighs 1 / (1 + distance) for each of its ends that has the other in its
     list; ``c`` is the number of these ends.  Each of several copies is linked with the next ones in the order of keys.
     """
 
-    def __init__(self, x: np.ndarray, home: np.ndarray, resolution: float, seed: int) -> None:
-        plain = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 4))).reshape(-1)
-        _, first, which = np.unique(plain, return_index=True, return_inverse=True)
-        order = np.argsort(first)  # vectors in the order of their first rows
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        first, which = first[order], place[which.reshape(-1)]
+    def __init__(self, x: np.ndarray) -> None:
+        first, which = _distinct(x)
+        self.first, self.which = first, which
         idx, dist = descent.descend(x[first])
-        src = np.repeat(np.arange(len(first)), idx.shape[1])
-        dst, d = idx.reshape(-1).astype(np.int64), dist.reshape(-1)
-        good = (dst >= 0) & home[first][src]  # a visitor's list is made where it is at home
-        src, dst, w = first[src[good]], first[dst[good]], 1 / (1 + np.sqrt(d[good], dtype=np.float64))
-        out = ~home[dst]
-        self.far = src[out], dst[out], w[out]
-        a, b, w, c = _sums(np.minimum(src, dst)[~out], np.maximum(src, dst)[~out], w[~out], np.ones(int((~out).sum())))
-        rows = np.flatnonzero(home)
-        number = np.full(len(x), -1)
-        number[first] = np.arange(len(first))
-        com = communities(len(first), number[a], number[b], w, resolution, seed=seed)
-        self.com = com[which]
-        by = rows[np.lexsort((rows, which[rows]))]
-        rings = [(by[:-s], by[s:]) for s in range(1, min(descent.LINKS // 2, len(by) - 1) + 1)] if len(first) < len(x) else []
-        same = [(u[which[u] == which[v]], v[which[u] == which[v]]) for u, v in rings]
-        self.a, self.b = np.concatenate([a, *(u for u, _ in same)]), np.concatenate([b, *(v for _, v in same)])
+        self.x = np.ascontiguousarray(x[first], np.float32)
+        self.sq = np.einsum("ij,ij->i", self.x, self.x)
+        n, m = idx.shape
+        self.ids, self.dist = np.full((n, descent.LINKS), -1, np.int64), np.full((n, descent.LINKS), np.inf, np.float32)  # numbers of own rows, keys of visitors
+        self.ids[:, :m], self.dist[:, :m] = idx, np.where(idx >= 0, dist, np.inf)
+        self.visits = np.zeros(self.ids.shape, bool)
+
+    def meet(self, x: np.ndarray, keys: np.ndarray, mine: np.ndarray, theirs: np.ndarray, strip: float) -> None:
+        """Visitors, sorted by key, from the cell of the centre ``theirs`` are compared with the own rows near that border."""
+        first, _ = _distinct(x)
+        x, keys = np.ascontiguousarray(x[first], np.float32), keys[first]
+        turn = theirs - mine
+        behind = ((theirs @ theirs - mine @ mine) / 2 - self.x @ turn) / np.sqrt(max(float(turn @ turn), 1e-12))
+        live = np.flatnonzero(behind <= np.minimum(OWN * strip, np.sqrt(self.dist[:, -1])))  # who is beyond the border is no nearer than the border
+        right = np.ascontiguousarray(np.concatenate([x, np.einsum("ij,ij->i", x, x)[:, None]], axis=1).T)
+        step = max(1, _PAIRS // len(x))
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for a in range(0, len(live), step):
+            rows = live[a : a + step]
+            d = np.concatenate([-2 * self.x[rows], np.ones((len(rows), 1), np.float32)], axis=1) @ right
+            hit = np.flatnonzero(d < (self.dist[rows, -1] - self.sq[rows])[:, None])
+            u = rows[hit // len(x)]
+            d = np.maximum(d.reshape(-1)[hit] + self.sq[u], 0)
+            at, _ = _best(u, d, descent.LINKS)
+            hits.append((u[at], keys[hit[at] % len(x)], d[at]))
+            if sum(len(h[0]) for h in hits) > _HITS or a + step >= len(live):
+                self._take_in(*(np.concatenate(c) for c in zip(*hits)))
+                hits = []
+
+    def _take_in(self, u: np.ndarray, keys: np.ndarray, d: np.ndarray) -> None:
+        at, rank = _best(u, d, descent.LINKS)
+        rows, line = np.unique(u[at], return_inverse=True)
+        ids, dist = np.full((len(rows), descent.LINKS), -1, np.int64), np.full((len(rows), descent.LINKS), np.inf, np.float32)
+        ids[line, rank], dist[line, rank] = keys[at], d[at]
+        ids, dist = np.concatenate([self.ids[rows], ids], axis=1), np.concatenate([self.dist[rows], dist], axis=1)
+        visits = np.concatenate([self.visits[rows], np.ones((len(rows), descent.LINKS), bool)], axis=1)
+        order = np.argsort(dist, axis=1, kind="stable")[:, : descent.LINKS]
+        self.ids[rows], self.dist[rows], self.visits[rows] = (np.take_along_axis(m, order, 1) for m in (ids, dist, visits))
+
+    def link(self, resolution: float, seed: int) -> None:
+        """The links ``a``, ``b`` of own rows, those to visitors (``far``: row, key, weight), and the first communities."""
+        n, m = len(self.first), len(self.which)
+        src, dst = np.repeat(np.arange(n), descent.LINKS), self.ids.reshape(-1)
+        w = 1 / (1 + np.sqrt(self.dist.reshape(-1), dtype=np.float64))
+        there, out = np.isfinite(self.dist.reshape(-1)), self.visits.reshape(-1)
+        self.far = self.first[src[there & out]], dst[there & out], w[there & out]
+        src, dst, w = src[there & ~out], dst[there & ~out], w[there & ~out]
+        self.x = self.ids = self.dist = self.visits = None
+        a, b, w, c = _sums(np.minimum(src, dst), np.maximum(src, dst), w, np.ones(len(w)))
+        self.com = communities(n, a, b, w, resolution, seed=seed)[self.which]
+        by = np.lexsort((np.arange(m), self.which))
+        rings = [(by[:-s], by[s:]) for s in range(1, min(descent.LINKS // 2, m - 1) + 1)] if n < m else []
+        same = [(u[self.which[u] == self.which[v]], v[self.which[u] == self.which[v]]) for u, v in rings]
+        self.a, self.b = np.concatenate([self.first[a], *(u for u, _ in same)]), np.concatenate([self.first[b], *(v for _, v in same)])
         more = np.full(len(self.a) - len(w), 2.0)
         self.w, self.c = np.r_[w, more], np.r_[c, more]
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each vector, in the order of rows, and which of these each row has."""
+    plain = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 4))).reshape(-1)
+    _, first, which = np.unique(plain, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return first[order], place[which.reshape(-1)]
+
+
 _OUT = "kind byte, k long, com long, b long, w double, c double"
 
 
@@ -224,6 +319,8 @@ def similarity_clusters(df: DataFrame, key: str, width: int, also: str, typical:
     whole = x[~np.isnan(x).any(axis=1)]
     centres = kmeans(whole if len(whole) else np.zeros((1, width), np.float32), 64, 8, np.random.default_rng(seed))
     cells = Cells(filled(x, centres), n, seed + 1)
+    if len(x) < n and len(cells.asked):
+        cells.reach(*_neighbours(df, cells.asked, centres, width))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -231,53 +328,66 @@ def similarity_clusters(df: DataFrame, key: str, width: int, also: str, typical:
             row, cell, home, hot = cells.dealt(v, t[key].to_numpy())
             at = pa.array(row)
             name = t[also].take(pa.array(row, mask=~home))  # goes with the row's own cell only
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home), t[key].take(at), packed(v[row]), name, pa.array(hot)], ["cell", "home", "k", "v", "also", "hot"])
+            own = np.empty(len(v), np.int64)
+            own[row[home]] = cell[home]
+            place = (cell.astype(np.int64) << 32) + np.where(home, 0, own[row] + 1)  # visitors by the cell they come from
+            yield pa.RecordBatch.from_arrays([pa.array(place), t[key].take(at), packed(v[row]), name, pa.array(hot)], ["place", "k", "v", "also", "hot"])
 
     names = ["kind", "k", "com", "b", "w", "c", "also", *(["inner", "oc", "ow"] if typical else [])]
     more = ", inner double, oc array<long>, ow array<double>" if typical else ""
-    copies = len(cells.centres)
+    copies, middles, strip = len(cells.centres), cells.centres, cells.strip
 
     def in_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _cells(batches):
-            cell = t["cell"][0].as_py()
-            t = t.sort_by("k")  # the same graph whatever the order of arrival
-            keys, home, hot = t["k"].to_numpy(), t["home"].to_numpy(), t["hot"].to_numpy()
-            text = t["also"].combine_chunks().type
-            longs, doubles = pa.array([], pa.list_(pa.int64())).type, pa.array([], pa.list_(pa.float64())).type
-
-            def batch(mark: int, k, com, b, w, c, name=None, extra=()) -> pa.RecordBatch:
-                m = len(com)
-                columns = [pa.array(np.full(m, mark, np.int8)), pa.nulls(m, pa.int64()) if k is None else pa.array(k), pa.array(com), pa.nulls(m, pa.int64()) if b is None else pa.array(b), pa.nulls(m, pa.float64()) if w is None else pa.array(w), pa.nulls(m, pa.float64()) if c is None else pa.array(c)]
-                columns.append(pa.nulls(m, text) if name is None else name)
-                if typical:
-                    columns += list(extra) or [pa.nulls(m, pa.float64()), pa.nulls(m, longs), pa.nulls(m, doubles)]
-                return pa.RecordBatch.from_arrays(columns, names)
+        longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
 
-            if cell >= copies:  # copies of a hot vector: linked with one another, like those that stand for it
-                com = _COPY + hot
-                none = pa.array([[]] * len(com), longs), pa.array([[]] * len(com), doubles)
-                yield batch(0, keys, com, None, None, None, t["also"].combine_chunks(), (pa.array(np.full(len(com), 2.0 * descent.LINKS)), *none))
-                continue
-            g = _Graph(unpacked(t["v"], width), home, resolution, seed)
+        def batch(mark: int, text: pa.DataType, k, com, b, w, c, name=None, extra=()) -> pa.RecordBatch:
+            m = len(com)
+            columns = [pa.array(np.full(m, mark, np.int8)), pa.nulls(m, pa.int64()) if k is None else pa.array(k), pa.array(com), pa.nulls(m, pa.int64()) if b is None else pa.array(b), pa.nulls(m, pa.float64()) if w is None else pa.array(w), pa.nulls(m, pa.float64()) if c is None else pa.array(c)]
+            columns.append(pa.nulls(m, text) if name is None else name)
+            if typical:
+                columns += list(extra) or [pa.nulls(m, pa.float64()), pa.nulls(m, longs), pa.nulls(m, doubles)]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        def done(g: _Graph, cell: int, keys: np.ndarray, hot: np.ndarray, name: pa.Array) -> Iterator[pa.RecordBatch]:
+            g.link(resolution, seed)
             com = (cell << 32) + g.com
-            own = pa.array(home)
-            inner, oc, ow = _degrees(len(com), g.a, g.b, g.w, com)
-            yield batch(0, keys[home], com[home], None, None, None, t["also"].combine_chunks().filter(own), (pa.array(inner[home]), oc.filter(own), ow.filter(own)))
+            yield batch(0, name.type, keys, com, None, None, None, name, _degrees(len(com), g.a, g.b, g.w, com) if typical else ())
             lo, hi = com[g.a], com[g.b]
             a, b, w, c = _sums(np.minimum(lo, hi), np.maximum(lo, hi), g.w, g.c)
-            yield batch(1, None, a, b, w, c)
+            yield batch(1, name.type, None, a, b, w, c)
             src, dst, w = g.far
             if typical:
-                yield batch(2, keys[dst], com[src], keys[src], w, np.ones(len(w)))
+                yield batch(2, name.type, dst, com[src], keys[src], w, np.ones(len(w)))
             else:
-                a, v, w, c = _sums(com[src], keys[dst], w, np.ones(len(w)))
-                yield batch(2, v, a, None, w, c)
-            stand = np.flatnonzero(home & (hot >= 0))
+                a, v, w, c = _sums(com[src], dst, w, np.ones(len(w)))
+                yield batch(2, name.type, v, a, None, w, c)
+            stand = np.flatnonzero(hot >= 0)
             _, at = np.unique(hot[stand], return_index=True)
-            yield batch(3, None, com[stand[at]], _COPY + hot[stand[at]], None, None)
+            yield batch(3, name.type, None, com[stand[at]], _COPY + hot[stand[at]], None, None)
+
+        open_: tuple | None = None  # the graph of the cell at hand, and what its rows are
+        for t in _groups(batches):
+            place = t["place"][0].as_py()
+            cell, other = place >> 32, (place & 0xFFFFFFFF) - 1
+            keys, x = t["k"].to_numpy(), unpacked(t["v"], width)
+            if other >= 0:
+                if open_ and open_[1] == cell:
+                    open_[0].meet(x, keys, middles[cell], middles[other], strip)
+                continue
+            if open_:
+                yield from done(*open_)
+                open_ = None
+            hot, name = t["hot"].to_numpy(), t["also"].combine_chunks()
+            if cell >= copies:  # copies of a hot vector: linked with one another, like those that stand for it
+                none = pa.array([[]] * len(keys), longs), pa.array([[]] * len(keys), doubles)
+                yield batch(0, name.type, keys, _COPY + hot, None, None, None, name, (pa.array(np.full(len(keys), 2.0 * descent.LINKS)), *none))
+            else:
+                open_ = _Graph(x), cell, keys, hot, name
+        if open_:
+            yield from done(*open_)
 
-    dealt = df.select(key, "v", also).mapInArrow(deal, f"cell int, home boolean, k long, v binary, also {kind}, hot long")
-    dealt = dealt.repartitionById(cells.count(), F.col("cell")).sortWithinPartitions("cell")
+    dealt = df.select(key, "v", also).mapInArrow(deal, f"place long, k long, v binary, also {kind}, hot long")
+    dealt = dealt.repartitionById(cells.count(), F.shiftright("place", 32).cast("int")).sortWithinPartitions("place", "k")  # the same graphs whatever the order of arrival
     local = written(dealt.mapInArrow(in_cell, f"{_OUT}, also {kind}{more}"), "local")
 
     rows = local.where("kind = 0")

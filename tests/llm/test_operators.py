@@ -259,6 +259,48 @@ def test_rows_find_their_neighbours_across_cells():
     assert np.mean([(j, own[i]) in there for i in range(300) for j in near[i]]) > 0.9
 
 
+def test_visitors_are_met_one_cell_after_another(monkeypatch):
+    x = np.random.default_rng(14).normal(size=(20_000, 6)).astype(np.float32)
+    monkeypatch.setattr(communities, "CELL", 400)
+    cells = communities.Cells(x, len(x), 0)
+    row, cell, home, _ = cells.dealt(x, np.arange(len(x)))
+    own = np.empty(len(x), int)
+    own[row[home]] = cell[home]
+    at = int(np.bincount(cell).argmax())
+    mine, visitors = row[(cell == at) & home], row[(cell == at) & ~home]
+    assert len(visitors) > 2 * len(mine)
+    held = []
+    monkeypatch.setattr(communities.descent, "descend", lambda x, f=communities.descent.descend: held.append(len(x)) or f(x))
+    g = communities._Graph(x[mine])
+    for other in np.unique(own[visitors]):
+        there = np.sort(visitors[own[visitors] == other])
+        there = np.r_[there, there[:1]]  # a copy counts once
+        g.meet(x[there], there, cells.centres[at], cells.centres[other], cells.strip)
+    assert held == [len(mine)]  # whatever the number of visitors
+    d = ((x[mine, None] - x[None]) ** 2).sum(-1)
+    d[np.arange(len(mine)), mine] = np.inf
+    got = np.where(g.visits, g.ids, mine[np.where(g.visits, 0, g.ids)])
+    assert np.allclose(g.dist, np.take_along_axis(d, got, 1), atol=1e-4) and all(len(set(r)) == descent.LINKS for r in got)
+    true = np.argsort(d, axis=1)[:, : descent.LINKS]
+    assert np.mean([len(set(a) & set(b)) / descent.LINKS for a, b in zip(got, true)]) > 0.9
+
+
+def test_the_strip_along_borders_is_that_of_the_whole_table(spark):
+    x = np.random.default_rng(15).normal(size=(6000, 3)).astype(np.float32) + 9
+    x[5000] = x[0]  # a copy is no neighbour
+    base = spark.createDataFrame(pd.DataFrame({"v": [r.tobytes() for r in x]}), "v binary").repartition(5)
+    a, b = communities._neighbours(base, x[:40], x[:1], 3)
+    d = ((x[:40, None] - x[None]) ** 2).sum(-1)
+    d[d == 0] = np.inf
+    at = np.argsort(d, axis=1)[:, : descent.LINKS]
+    assert len(a) == 40 * descent.LINKS
+    assert {(p.tobytes(), v.tobytes()) for p, v in zip(a, b)} == {(x[i].tobytes(), v.tobytes()) for i in range(40) for v in x[at[i]]}
+    cells = communities.Cells(x[:1500], 6000 * 65_536, 0)  # a sample that is far thinner than the table
+    wide = cells.strip
+    cells.reach(x[np.repeat(np.arange(40), descent.LINKS)], x[at.reshape(-1)])
+    assert 0 < cells.strip < wide and len(cells.dealt(x, np.arange(6000))[0]) >= 6000
+
+
 @pytest.mark.parametrize("cell", [65_536, 300])
 def test_clusters_are_the_natural_groups(spark, monkeypatch, cell):
     monkeypatch.setattr(communities, "CELL", cell)
